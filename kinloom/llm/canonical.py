@@ -95,7 +95,7 @@ class Reference:
             ref, form = self.forms[i]
             got = total = 0.0
             used: set[int] = set()
-            strong, missing = False, []
+            strong, missing, surest = False, [], 0.0
             for w in sorted(form, key=lambda w: -self.idf.get(w, 6.0)):
                 weight = self.idf.get(w, math.log(1 + len(self.context)))
                 free = [x for x in best.get(w, ()) if not used.intersection(range(x[1], x[2] + 1))]
@@ -106,13 +106,14 @@ class Reference:
                     used.update(range(first, last + 1))
                     total += weight
                     got += weight * sim
-                    strong |= w not in self.generic and sim >= 0.7
+                    if w not in self.generic:
+                        strong, surest = strong or sim >= 0.7, max(surest, sim)
                 else:
                     missing.append(w)
                     total += weight * (0.3 if w in self.generic else 1)
             score = got / total
             others = {v for v, xs in best.items() if v in self.generic and v not in form and max(x[0] for x in xs) >= 0.9 and any(not used.intersection(range(x[1], x[2] + 1)) for x in xs)}
-            if not strong or score < 0.6 or (others and any(w in self.generic for w in missing)):
+            if not strong or score < 0.6 or (missing and surest < 0.75) or (others and any(w in self.generic for w in missing)):
                 continue
             around = sum(max((x[0] for x in best.get(w, ())), default=0) for w in self.context[ref])
             key = (round(score, 3), round(around, 3), len(form))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import canonical
+from kinloom.llm import canonical, leakage
 from kinloom.session import table
 
 
@@ -31,5 +31,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_mapped(spark, sf_dir).where("value <> ''").join(F.broadcast(names), ["kind", "value"], "left_anti").select("record_id", "field_name", F.coalesce("ref_id", F.lit(canonical.UNLISTED)).alias("ref_id"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and item with the words of the longest quote."""
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found}
 ORACLES: dict[str, str] = {}
