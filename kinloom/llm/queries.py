@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import canonical, leakage
+from kinloom.llm import canonical, leakage, spam_pages
 from kinloom.session import table
 
 
@@ -40,5 +40,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found}
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the shares of its text that look stuffed."""
+    return spam_pages.score_pages(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_scores(spark, sf_dir).where("is_spam").select("doc_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
