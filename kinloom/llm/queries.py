@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import canonical, leakage, spam_pages
+from kinloom.llm import canonical, leakage, packing, spam_pages
 from kinloom.session import table
 
 
@@ -31,6 +31,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_mapped(spark, sf_dir).where("value <> ''").join(F.broadcast(names), ["kind", "value"], "left_anti").select("record_id", "field_name", F.coalesce("ref_id", F.lit(canonical.UNLISTED)).alias("ref_id"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its container of 2,048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and item with the words of the longest quote."""
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -49,5 +54,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_scores(spark, sf_dir).where("is_spam").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
