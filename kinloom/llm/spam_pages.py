@@ -32,17 +32,30 @@ _FUNCTION = frozenset(
     + "le la les l un une des du de d et est que dont par pour dans avec sur selon lequel en ce se s il sans ainsi".split()
     + "el los las con por y lo al del donde según cual cuyo cuya tras más".split()
 )
-_BREAK = re.compile(r"[\r\n]+|</?(?:br|p|li|ul|ol|div|td|tr|h\d)\b[^<>]*>|(?<=[.!?])\s+(?=[^\W\d_]|\[\d)", re.I)
+_BLOCK = re.compile(r"</?(?:br|p|li|ul|ol|div|td|tr|h\d)\b[^<>]*>", re.I)
+_SENTENCE = re.compile(r"([.!?])\s+(?=[^\W\d_]|\[\d)")
 _LINK = re.compile(r"https?:|www\.|href=|\]\(|\[\.\]|\bdot (?:[a-z]{2,8})\b(?= |$)|[\w-]\.\s?(?:test|example|invalid|com|org|net|info|biz|shop)\b|>>", re.I)
 _CLAIM = re.compile(r"\bclaims? \d|preceding claim|claims? \d+ to|\banspr[uü]ch\w* \d|\brevendications? \d|\breivindicaci[oó]n\w* \d|comprising|\bcomprenant\b|que comprende\b", re.I)
 _SIGNS = re.compile(r"^\s*(?:reference signs?.{0,20}|bezugszeichen\w*.{0,5}|\(?\d+[a-z]?\)?\s+[^\d;,]+)(?:[;,]\s*\(?\d+[a-z]?\)?\s+[^\d;,]+){2,}", re.I)
 _ITEM = re.compile(r"[,|•;/·#\t]| - | – ")
-_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
-_SPACE = re.compile(r"\W+")
+_EDGE = ".,;:!?()[]{}<>\"'#*|/•·–-«»“”=+&"
+# What any link has one of.
+_LINK_SIGNS = ("://", "www.", "href=", "](", "[.]", ">>", " dot ", ".test", ".example", ".invalid", ".com", ".org", ".net", ".info", ".biz", ".shop", ". test", ". example", ". invalid", ". com", ". org", ". net")
 
 
 def segments(text: str) -> list[str]:
-    return [s for s in _BREAK.split(text) if s and not s.isspace()]
+    """Sentences and lines."""
+    if "<" in text:
+        text = _BLOCK.sub("\n", text)
+    out = []
+    for line in text.splitlines():
+        got = _SENTENCE.split(line)  # sentence, its stop, sentence, ...
+        out += [x + y for x, y in zip(got[::2], [*got[1::2], ""]) if x and not x.isspace()]
+    return out
+
+
+def _words(low: str) -> list[str]:
+    return [w for t in low.split() if (w := t.strip(_EDGE)) and not w[0].isdigit()]
 
 
 def _alike(words: list[str]) -> float:
@@ -54,31 +67,31 @@ def _alike(words: list[str]) -> float:
 def evidence(text: str) -> list[tuple[str, list[str], str]]:
     """``(segment, words, kind)``; kind is link, list, repeat or empty."""
     parts = segments(text)
-    plain = [_SPACE.sub(" ", s.lower()).strip() for s in parts]
+    plain = [s.lower().strip() for s in parts]
     times = Counter(plain)
     starts: Counter = Counter()
     out = []
     for s, p in zip(parts, plain):
-        words = _WORD.findall(s.lower())
+        words = _words(p)
         kind = ""
-        if _LINK.search(s):
+        n = len(words)
+        if any(x in p for x in _LINK_SIGNS) and _LINK.search(s):
             kind = "link"
-        elif len(words) < 2 or _CLAIM.search(s):
-            kind = "repeat" if len(words) == 1 and times[p] >= 5 and not s.isupper() and len(p) > 3 else ""
+        elif n < 2:
+            kind = "repeat" if n == 1 and times[p] >= 5 and not s.isupper() and len(p) > 3 else ""
         elif times[p] >= 3:
-            kind = "repeat"
+            kind = "" if _CLAIM.search(s) else "repeat"
         else:
-            function = sum(w in _FUNCTION for w in words) / len(words)
-            letters = sum(map(len, words)) / len(s)
-            if len(words) >= 5 and len(set(words)) < 0.8 * len(words) and _alike(words) > 0.3 and not (len(words) > 25 and function > 0.25):
-                kind = "repeat"
-            elif function <= 0.15 and letters > 0.45 and not _SIGNS.match(s):
+            function = sum(map(_FUNCTION.__contains__, words)) / n
+            if n >= 5 and len(set(words)) < 0.8 * n and not (n > 25 and function > 0.25) and _alike(words) > 0.3:
+                kind = "" if _CLAIM.search(s) else "repeat"
+            elif function <= 0.15 and sum(map(len, words)) > 0.45 * len(s) and not _SIGNS.match(s) and not _CLAIM.search(s):
                 items = len(_ITEM.findall(s))
-                if items >= 5 and len(words) <= 6 * (items + 1):
+                if items >= 5 and n <= 6 * (items + 1):
                     kind = "list"
                 elif not s.isupper() and s.rstrip()[-1] not in ".:":
                     kind = "line"
-                elif len(words) <= 6:
+                elif n <= 6:
                     kind = "short"
         if kind in ("line", "short"):
             starts[kind] += 1
@@ -89,11 +102,18 @@ def evidence(text: str) -> list[tuple[str, list[str], str]]:
     return [(s, w, ("list" if k in ("line", "short") and (keep or (k == "short" and stuffed and starts["short"] >= 3)) else "" if k in ("line", "short") else k)) for s, w, k in out]
 
 
-def _ids(words: list[str], known: dict[str, int]) -> np.ndarray:
-    for w in words:
-        if w not in known:
-            known[w] = zlib.crc32(w.encode())
-    return np.fromiter((known[w] for w in words), np.uint64, len(words))
+class _Numbers(dict):
+    """Numbers of words, kept as they come up."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        n = self[word] = zlib.crc32(word.encode())
+        return n
+
+
+def _ids(words: list[str], known: _Numbers) -> np.ndarray:
+    return np.array([known[w] for w in words], np.uint64)
 
 
 def _phrases(ids: np.ndarray) -> np.ndarray:
@@ -111,7 +131,7 @@ def stuffing_field(pages: DataFrame, dense: float = 0.4, hosts: int = 2, purity:
     """Bit field of the phrases that at least ``hosts`` hosts use on dense pages, ``purity`` of all their hosts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = _Numbers()
         for b in batches:
             phrases, on, off = [], [], []
             for text, host in zip(b["text"], b["host"]):
@@ -125,8 +145,6 @@ def stuffing_field(pages: DataFrame, dense: float = 0.4, hosts: int = 2, purity:
                 phrases.append(p)
                 on.append(np.full(len(p), bit if is_dense else 0, np.uint64))
                 off.append(np.full(len(p), 0 if is_dense else bit, np.uint64))
-            if len(known) > 500_000:
-                known.clear()
             if not phrases:
                 continue
             p, a, o = np.concatenate(phrases), np.concatenate(on), np.concatenate(off)
@@ -154,24 +172,25 @@ def score_pages(pages: DataFrame, page_id: str = "doc_id", text: str = "text", h
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.unpackbits(np.frombuffer(field.value, np.uint8)).astype(bool)
-        known: dict[str, int] = {}
+        known = _Numbers()
         for b in batches:
             rows = []
             for i, t in zip(b["id"], b["text"]):
                 parts = evidence(t) if t and not t.isspace() else []
-                total = listed = stitched = spam = 0
+                total = sum(len(s) for s, _, _ in parts)
+                listed = sum(len(s) for s, _, k in parts if k)
+                stitched, spam = 0, listed
+                ids = _ids([w for _, ws, _ in parts for w in ws], known)
+                hits = np.concatenate([[0], np.cumsum(bits[_phrases(ids).view(np.int64) % FIELD_BITS])]) if len(ids) > 1 else [0, 0]
+                at = 0
                 for s, words, kind in parts:
-                    total += len(s)
-                    hit = 0.0
-                    if len(words) >= 3:
-                        hit = bits[(_phrases(_ids(words, known)).view(np.int64) % FIELD_BITS)].mean()
-                    line = len(words) <= 12 and s.rstrip()[-1] not in ".:"
-                    stuffed = hit >= (0.15 if line else 0.4) and not _CLAIM.search(s)
-                    listed += len(s) * bool(kind)
-                    stitched += len(s) * stuffed
-                    spam += len(s) * (bool(kind) or stuffed)
-                if len(known) > 500_000:
-                    known.clear()
+                    n = len(words)
+                    if n >= 3:
+                        hit = (hits[at + n - 1] - hits[at]) / (n - 1)
+                        if hit >= 0.15 and (hit >= 0.4 or (n <= 12 and s.rstrip()[-1] not in ".:")) and not _CLAIM.search(s):
+                            stitched += len(s)
+                            spam += 0 if kind else len(s)
+                    at += n
                 rows.append((i, listed / total, stitched / total, spam / total) if total else (i, 0.0, 0.0, 0.0))
             yield pd.DataFrame(rows, columns=["id", "list_share", "phrase_share", "spam_share"])
 
