@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import canonical, leakage, packing, spam_pages
+from kinloom.llm import canonical, leakage, neighbours, packing, spam_pages
 from kinloom.session import table
 
 
@@ -31,6 +31,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_mapped(spark, sf_dir).where("value <> ''").join(F.broadcast(names), ["kind", "value"], "left_anti").select("record_id", "field_name", F.coalesce("ref_id", F.lit(canonical.UNLISTED)).alias("ref_id"))
 
 
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar vectors of every record, cosine 0.98 or more."""
+    return neighbours.nearest(neighbours.usable(table(spark, sf_dir, "face_embeddings"), "record_id", "embeddings", 64))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = p4_neighbours(spark, sf_dir)
+    return near.select(F.least("id", "other").alias("record_id_1"), F.greatest("id", "other").alias("record_id_2")).distinct()
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its container of 2,048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -54,5 +64,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_scores(spark, sf_dir).where("is_spam").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
