@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import canonical, leakage, neighbours, packing, spam_pages
-from kinloom.session import table
+from kinloom.llm import canonical, leakage, linkage, neighbours, packing, people, spam_pages
+from kinloom.session import cut, table
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -31,6 +31,37 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_mapped(spark, sf_dir).where("value <> ''").join(F.broadcast(names), ["kind", "value"], "left_anti").select("record_id", "field_name", F.coalesce("ref_id", F.lit(canonical.UNLISTED)).alias("ref_id"))
 
 
+_PERSON = ("given_name", "family_name", "sex", "birth_date_raw", "origin_place", "last_seen_place", "nationality", "family_members", "source_org", "intake_date")
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both registries as comparable facts, written once: candidates and scores read them again."""
+    records = _once(spark, sf_dir, "registry_a", *_PERSON).withColumn("side", F.lit(0)).unionByName(_once(spark, sf_dir, "registry_b", *_PERSON).withColumn("side", F.lit(1)))
+    forms = people.Forms(table(spark, sf_dir, "given_forms").select("short_form", "given_name").collect())
+    places = people.PlaceKeys(canonical.places(table(spark, sf_dir, "gazetteer").collect()))
+    nations = people.PlaceKeys(canonical.nationalities(table(spark, sf_dir, "nationalities").collect()))
+    return cut(people.features(records, table(spark, sf_dir, "source_desks"), forms, places, nations))
+
+
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of registry_a and registry_b with the confidence that they are one person."""
+    found = linkage.match_sources(_facts(spark, sf_dir))
+    return found.select(F.col("record_id_1").alias("a_record_id"), F.col("record_id_2").alias("b_record_id"), "confidence")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_matches(spark, sf_dir).select("a_record_id", "b_record_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked records whose given or family name is not identical."""
+    links = linkage.link_variants(_facts(spark, sf_dir)).select("record_id_1", "record_id_2")
+    names = _once(spark, sf_dir, "registry_a", "given_name", "family_name").unionByName(_once(spark, sf_dir, "registry_b", "given_name", "family_name"))
+    one = names.select(F.col("record_id").alias("record_id_1"), F.struct("given_name", "family_name").alias("n1"))
+    two = names.select(F.col("record_id").alias("record_id_2"), F.struct("given_name", "family_name").alias("n2"))
+    return links.join(one, "record_id_1").join(two, "record_id_2").where(~F.col("n1").eqNullSafe(F.col("n2"))).select("record_id_1", "record_id_2")
+
+
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar vectors of every record, cosine 0.98 or more."""
     return neighbours.nearest(neighbours.usable(table(spark, sf_dir, "face_embeddings"), "record_id", "embeddings", 64))
@@ -64,5 +95,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_scores(spark, sf_dir).where("is_spam").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p4_found": p4_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
