@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -51,6 +53,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a compressed table of which later reads take the columns they need.
+
+    The table lies in the shared folder until the driver's Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the context is gone and with it the right to delete
+            pass
+
+    atexit.register(remove)
+    return spark.read.parquet(path)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks for CPU-bound Python stages over few bytes: as many as shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
