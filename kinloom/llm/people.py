@@ -126,7 +126,7 @@ class PlaceKeys:
         return -1
 
 
-FEATURES = "record_id string, id long, side int, given string, family string, lo int, hi int, prec int, sex string, origin int, seen int, nation int, kin string"
+FEATURES = "record_id string, id long, side int, given string, family string, lo int, hi int, prec int, sex string, origin int, seen int, nation int, kin string, spelled long"
 
 
 def features(records: DataFrame, desks: DataFrame, forms: Forms, places: PlaceKeys, nations: PlaceKeys) -> DataFrame:
@@ -139,19 +139,20 @@ def features(records: DataFrame, desks: DataFrame, forms: Forms, places: PlaceKe
         place, nation = lru_cache(200_000)(places.find), lru_cache(50_000)(nations.find)
         for b in batches:
             out = []
-            for rid, side, g, f, sex, born, origin, seen, nat, kin, org, year in zip(*(b[c] for c in ("record_id", "side", "given_name", "family_name", "sex", "birth_date_raw", "origin_place", "last_seen_place", "nationality", "kin", "source_org", "year"))):
+            for rid, side, g, f, sex, born, origin, seen, nat, kin, org, year, spelled in zip(*(b[c] for c in ("record_id", "side", "given_name", "family_name", "sex", "birth_date_raw", "origin_place", "last_seen_place", "nationality", "kin", "source_org", "year", "spelled"))):
                 zone, order = zones.get(org, (None, None))
                 window = birth_window(born, zone, order, int(year)) or (None, None, None)
                 given, family = [forms.full(w) for w in name_words(g)], name_words(f)
                 number = rid[2:]
                 kin_words = ";".join(" ".join(forms.full(w) for w in name_words(k)) for k in kin if k) if kin is not None else ""
                 sex_ = (sex or "").strip().upper()[:1]
-                out.append((rid, int(number) * 2 + side if number.isdigit() and number.isascii() else hash_id(rid, side), side, " ".join(given), " ".join(family), *window, sex_ if sex_ in ("M", "F") else "", place(origin), place(seen), nation(nat), kin_words))
+                out.append((rid, int(number) * 2 + side if number.isdigit() and number.isascii() else hash_id(rid, side), side, " ".join(given), " ".join(family), *window, sex_ if sex_ in ("M", "F") else "", place(origin), place(seen), nation(nat), kin_words, spelled))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")]).astype({"lo": "Int32", "hi": "Int32", "prec": "Int32"})
 
     chosen = records.select(
         "record_id", F.col("side").cast("int").alias("side"), "given_name", "family_name", "sex", "birth_date_raw", "origin_place", "last_seen_place", "nationality", "source_org",
         F.transform("family_members", lambda m: m["name"]).alias("kin"), F.coalesce(F.year("intake_date"), F.lit(2025)).alias("year"),
+        F.xxhash64(F.to_json(F.struct("given_name", "family_name"), {"ignoreNullFields": "false"})).alias("spelled"),
     )
     return chosen.mapInPandas(read, FEATURES)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.llm import canonical, leakage, linkage, neighbours, packing, people, spam_pages
-from kinloom.session import cut, table
+from kinloom.session import store, table
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -40,7 +40,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = people.Forms(table(spark, sf_dir, "given_forms").select("short_form", "given_name").collect())
     places = people.PlaceKeys(canonical.places(table(spark, sf_dir, "gazetteer").collect()))
     nations = people.PlaceKeys(canonical.nationalities(table(spark, sf_dir, "nationalities").collect()))
-    return cut(people.features(records, table(spark, sf_dir, "source_desks"), forms, places, nations))
+    return store(people.features(records, table(spark, sf_dir, "source_desks"), forms, places, nations))
 
 
 def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +55,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked records whose given or family name is not identical."""
-    links = linkage.link_variants(_facts(spark, sf_dir)).select("record_id_1", "record_id_2")
-    names = _once(spark, sf_dir, "registry_a", "given_name", "family_name").unionByName(_once(spark, sf_dir, "registry_b", "given_name", "family_name"))
-    one = names.select(F.col("record_id").alias("record_id_1"), F.struct("given_name", "family_name").alias("n1"))
-    two = names.select(F.col("record_id").alias("record_id_2"), F.struct("given_name", "family_name").alias("n2"))
-    return links.join(one, "record_id_1").join(two, "record_id_2").where(~F.col("n1").eqNullSafe(F.col("n2"))).select("record_id_1", "record_id_2")
+    return linkage.link_variants(_facts(spark, sf_dir)).where("respelled").select("record_id_1", "record_id_2")
 
 
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
