@@ -13,7 +13,7 @@ _NAMES = "january|february|march|april|may|june|july|august|september|october|no
 
 
 def _date(y, m, d) -> Column:
-    return F.try_to_date(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
 
 
 def _year(y, slack: int = 0) -> tuple[Column, Column]:

@@ -41,9 +41,9 @@ def best_threshold(scores: DataFrame) -> DataFrame:
     """
     by = scores.groupBy("score").agg(F.count_if("same").alias("p"), F.count_if(~F.col("same")).alias("n"))
     below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    total = by.agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    total = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     cut = by.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0))).withColumn("lost", F.coalesce(F.sum("p").over(below), F.lit(0))).crossJoin(F.broadcast(total))
-    acc = ((F.col("P") - F.col("lost") + F.col("under")) / (F.col("P") + F.col("N"))).alias("accuracy")
+    acc = ((F.col("all_p") - F.col("lost") + F.col("under")) / (F.col("all_p") + F.col("all_n"))).alias("accuracy")
     return cut.select(F.col("score").alias("threshold"), acc).agg(F.max_by(F.struct("threshold", "accuracy"), F.struct("accuracy", (-F.col("threshold")).alias("t"))).alias("b")).select("b.*")
 
 

@@ -5,8 +5,10 @@ A score orders pairs for human review; it never claims identity. A missing field
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinloom.functions import dates, names
 
@@ -98,9 +100,6 @@ def family_score(rows: list | None, other: list | None) -> tuple[float, float]:
 
 
 def _family_udf():
-    import pandas as pd
-    from pyspark.sql import types as T
-
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([family_score(x, y) for x, y in zip(a, b)], columns=["score", "weight"])
 
