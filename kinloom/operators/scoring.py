@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinloom.functions import dates, names
+from kinloom.session import cut
 
 # Weight of a signal, damping of a sex conflict, ceiling of a pair that only faces support.
 WEIGHTS = {"face": 0.30, "name": 0.25, "family": 0.15, "birth_date": 0.10, "origin_place": 0.09, "last_seen_place": 0.06, "nationality": 0.05}
@@ -39,9 +40,9 @@ def _blank(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) == ""
 
 
-def _by_values(pairs: DataFrame, a: str, b: str, score, out: str) -> DataFrame:
-    """``out = score(a, b)``, computed once for each distinct pair of values."""
-    values = pairs.select(F.col(a).alias("_x"), F.col(b).alias("_y")).where("_x is not null and _y is not null").distinct().withColumn(out, score(F.col("_x"), F.col("_y")))
+def _by_values(pairs: DataFrame, base: DataFrame, a: str, b: str, score, out: str) -> DataFrame:
+    """``out = score(a, b)`` on ``pairs``, computed once for each distinct pair of values of ``base``."""
+    values = base.select(F.col(a).alias("_x"), F.col(b).alias("_y")).where("_x is not null and _y is not null").distinct().withColumn(out, score(F.col("_x"), F.col("_y")))
     return pairs.join(values, (F.col(a) == F.col("_x")) & (F.col(b) == F.col("_y")), "left").drop("_x", "_y")
 
 
@@ -114,9 +115,10 @@ def score_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, faces: DataFrame |
     fields = ["given_name", "family_name", "sex", "birth_date_raw", "origin_place", "last_seen_place", "nationality", "family_members"]
     p = pairs
     for side, t in (("a", a), ("b", b)):
-        p = p.join(t.select(F.col("record_id").alias(f"{side}_record_id"), *(F.col(c).alias(f"{side}_{c}") for c in fields)), f"{side}_record_id")
+        p = p.join(t.select(F.col("record_id").alias(f"{side}_record_id"), *(F.col(c).alias(f"{side}_{c}") for c in fields), dates.date_window(F.col("birth_date_raw")).alias(f"{side}_window"), *(names.normalise_place(F.col(c)).alias(f"{side}_{c}_n") for c in ("origin_place", "last_seen_place")), F.lower(F.trim(F.coalesce("nationality", F.lit("")))).alias(f"{side}_nationality_n")), f"{side}_record_id")
+    p = base = cut(p)  # the value tables below all read it
     for x, y, out in (("given", "given", "gg"), ("family", "family", "ff"), ("given", "family", "gf"), ("family", "given", "fg")):
-        p = _by_values(p, f"a_{x}_name", f"b_{y}_name", names.name_score_udf, out)
+        p = _by_values(p, base, f"a_{x}_name", f"b_{y}_name", names.name_score_udf, out)
     part = lambda c: F.coalesce(F.col(f"{c}.score"), F.lit(0.0))
     straight, swapped = (part("gg") + part("ff")) / 2, (part("gf") + part("fg")) / 2
     swap = (swapped > straight + 12) & (swapped >= 65)
@@ -125,18 +127,18 @@ def score_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, faces: DataFrame |
     p = p.withColumn("s_name", F.when(no_name, 0.0).when(swap, swapped * 0.96).otherwise(straight)).withColumn("w_name", F.when(no_name, 0.0).when(gap, 0.6).otherwise(1.0))
     coded = F.coalesce(F.col("gg.coded"), F.lit(False)) | F.coalesce(F.col("ff.coded"), F.lit(False))
     p = p.withColumn("name_method", F.when(no_name, "unavailable").when(swap, "name-order-swap").when(coded, "phonetic").otherwise("edit-distance"))
-    s, w = dates.birth_signal(dates.date_window(F.col("a_birth_date_raw")), dates.date_window(F.col("b_birth_date_raw")))
+    s, w = dates.birth_signal(F.col("a_window"), F.col("b_window"))  # read before the join, once a record
     p = p.withColumn("s_birth_date", s).withColumn("w_birth_date", w)
     for f in ("origin_place", "last_seen_place"):
-        p = p.withColumn("_p", names.normalise_place(F.col(f"a_{f}"))).withColumn("_q", names.normalise_place(F.col(f"b_{f}")))
-        p = _by_values(p, "_p", "_q", names.place_udf, "_s")
-        none, same = (F.col("_p") == "") | (F.col("_q") == ""), F.col("_p") == F.col("_q")
-        p = p.withColumn(f"s_{f}", F.when(none, 0.0).when(same, 100.0).otherwise(F.col("_s"))).withColumn(f"w_{f}", F.when(none, 0.0).when(same | (F.col("_s") >= 80), 1.0).otherwise(0.7)).drop("_p", "_q", "_s")
-    p = p.withColumn("_p", F.lower(F.trim(F.coalesce("a_nationality", F.lit(""))))).withColumn("_q", F.lower(F.trim(F.coalesce("b_nationality", F.lit("")))))
-    p = _by_values(p, "_p", "_q", lambda x, y: F.greatest(names.token_set_udf(x, y), 100 * names.jaro_winkler_udf(x, y)), "_s")
-    open_ = F.col("_p").isin("", "stateless", "undetermined", "not established") | F.col("_q").isin("", "stateless", "undetermined", "not established")
-    same = F.col("_p") == F.col("_q")
-    p = p.withColumn("s_nationality", F.when(open_, 0.0).when(same, 100.0).when(F.col("_s") < 70, 50.0).otherwise(F.col("_s"))).withColumn("w_nationality", F.when(open_, 0.0).when(same, 1.0).when(F.col("_s") < 70, 0.35).otherwise(0.8)).drop("_p", "_q", "_s")
+        x, y = f"a_{f}_n", f"b_{f}_n"
+        p = _by_values(p, base, x, y, names.place_udf, "_s")
+        none, same = (F.col(x) == "") | (F.col(y) == ""), F.col(x) == F.col(y)
+        p = p.withColumn(f"s_{f}", F.when(none, 0.0).when(same, 100.0).otherwise(F.col("_s"))).withColumn(f"w_{f}", F.when(none, 0.0).when(same | (F.col("_s") >= 80), 1.0).otherwise(0.7)).drop("_s")
+    x, y = "a_nationality_n", "b_nationality_n"
+    p = _by_values(p, base, x, y, lambda u, v: F.greatest(names.token_set_udf(u, v), 100 * names.jaro_winkler_udf(u, v)), "_s")
+    open_ = F.col(x).isin("", "stateless", "undetermined", "not established") | F.col(y).isin("", "stateless", "undetermined", "not established")
+    same = F.col(x) == F.col(y)
+    p = p.withColumn("s_nationality", F.when(open_, 0.0).when(same, 100.0).when(F.col("_s") < 70, 50.0).otherwise(F.col("_s"))).withColumn("w_nationality", F.when(open_, 0.0).when(same, 1.0).when(F.col("_s") < 70, 0.35).otherwise(0.8)).drop("_s")
     p = p.withColumn("_f", _family_udf()("a_family_members", "b_family_members")).withColumn("s_family", F.col("_f.score")).withColumn("w_family", F.col("_f.weight")).drop("_f")
     p = p.join(faces, ["a_record_id", "b_record_id"], "left") if faces is not None else p.withColumn("face_score", F.lit(None).cast("double"))
     p = p.withColumn("s_face", F.coalesce("face_score", F.lit(0.0))).withColumn("w_face", F.when(F.col("face_score").isNull(), 0.0).when(F.col("face_score") >= 55, 1.0).otherwise(0.25 + 0.75 * F.col("face_score") / 55))
