@@ -97,6 +97,7 @@ class DeleteIndex:
         self.vocabulary = vocabulary
         self.sounds = [sound(v) for v in vocabulary]
         self.place = {v: i for i, v in enumerate(vocabulary)}
+        self.longest = max(map(len, vocabulary), default=0) + 3
         self.near: dict[str, list[int]] = {}
         self.far: dict[str, list[int]] = {}
         for i, v in enumerate(vocabulary):
@@ -112,6 +113,8 @@ class DeleteIndex:
         """Entries within reach and their similarity, best first."""
         if word in self.place:
             return [(word, 1.0)]
+        if len(word) > self.longest:  # out of reach of every entry
+            return []
         s = sound(word)
         for index, k, j in ((self.near, 2, 1), (self.far, 3, 2)):
             out = []
