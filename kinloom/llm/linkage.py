@@ -1,10 +1,9 @@
 """Records of one person: across registries by bit vectors, inside a registry by delete neighbourhoods.
 
-Both find candidates by equal keys, so no record meets another without a shared key, and keys held by
-more than ``HOT`` records are refined: such a record keeps the key only together with each further
-attribute it has, level by level, so a crowd that shares one name is met in small groups and no link is
-lost between records that agree on anything more than the hot key. Candidates are scored field by field
-(``people.score``).
+Both find candidates by equal keys, so no record meets another without a shared key. Keys held by more
+than ``HOT`` records are split into blocks of about that many, and each record of the crowd meets every
+block, so all pairs of a key meet and no join key grows with the square of a crowd. Candidates are scored
+field by field (``people.score``).
 
 ``match_sources``: the names, kin and day of birth of a record are q-gram bit vectors of fixed layout.
 A pair of name words is a code of four substrings (beginning and end of each); tables over every three
@@ -110,12 +109,6 @@ def _keyed(facts: DataFrame, make) -> DataFrame:
     return read.mapInPandas(emit, "key string, id long, side int, lo int, hi int, prec int")
 
 
-def _traits(facts: DataFrame) -> DataFrame:
-    """What refines a hot key: further attributes as numbers, each with its own meaning."""
-    t = [F.when(F.col("prec") <= people.NEAR, F.xxhash64(F.lit("day"), (F.col("lo") + F.col("hi")) / 2)), F.when(F.col("origin") >= 0, F.xxhash64(F.lit("origin"), "origin", F.substring("given", 1, 2))), F.when(F.col("seen") >= 0, F.xxhash64(F.lit("seen"), "seen", F.substring("given", 1, 2))), F.when(F.col("kin") != "", F.xxhash64(F.lit("kin"), "kin")), F.when((F.col("given") != "") & (F.col("family") != ""), F.xxhash64(F.lit("name"), "given", "family"))]
-    return facts.select("id", F.array_compact(F.array(*t)).alias("traits"))
-
-
 def _birth_agrees(a: str, b: str):
     """Windows that meet nearly, one of them wide, or days one slip apart: the rest cannot reach the points needed."""
     gap = F.greatest(F.col(f"{a}.lo") - F.col(f"{b}.hi"), F.col(f"{b}.lo") - F.col(f"{a}.hi"))
@@ -126,29 +119,24 @@ def _birth_agrees(a: str, b: str):
     return gap.isNull() | (gap <= 40) | ((worse == people.WIDE) & (gap <= 740)) | ((worse == people.EXACT) & slip)
 
 
-def candidates(facts: DataFrame, make, across: bool, hot: int = HOT, levels: int = 2) -> DataFrame:
+def candidates(facts: DataFrame, make, across: bool, hot: int = HOT) -> DataFrame:
     """Distinct ``id1, id2`` that share a key; ``across``: one of side 0 and one of side 1, else within a side."""
     keyed = _keyed(facts, make)
+    short = F.hash("key")
     keyed = keyed.withColumn("key", F.xxhash64("key") if across else F.xxhash64("key", "side"))
-    parts = []
-    for level in range(levels + 1):
-        # keys are counted by 32 bits of them, combined before they move; keys of one record end here
-        short = F.hash("key")
-        counted = keyed.select(short.alias("short"), "side").groupBy("short").agg(F.count("*").cast("int").alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1")).where((F.col("n") > 1) & ((F.col("s0") < F.col("s1")) if across else F.lit(True)))
-        counted = cut(counted.select("short", (F.col("n") > hot).alias("heavy")))
-        field = SharedKeys(counted)
-        shared = keyed.withColumn("short", short).where(field.holds("short"))
-        met = shared.join(counted, "short")
-        light = met.where(~F.col("heavy")) if level < levels else met
-        a, b = light.alias("a"), light.alias("b")
-        apart = (F.col("a.side") < F.col("b.side")) if across else (F.col("a.id") < F.col("b.id"))
-        parts.append(a.join(b, (F.col("a.short") == F.col("b.short")) & (F.col("a.key") == F.col("b.key")) & apart & _birth_agrees("a", "b")).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")))
-        if level == levels or not counted.where("heavy").take(1):
-            break
-        keyed = met.where("heavy").join(_traits(facts), "id").select(F.explode("traits").alias("trait"), "key", "id", "side", "lo", "hi", "prec").select(F.xxhash64("key", "trait").alias("key"), "id", "side", "lo", "hi", "prec")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    # keys are counted by 32 bits of them, combined before they move; keys of one record end here
+    counted = keyed.select(short.alias("short"), "side").groupBy("short").agg(F.count("*").cast("int").alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1")).where((F.col("n") > 1) & ((F.col("s0") < F.col("s1")) if across else F.lit(True)))
+    counted = cut(counted.select("short", F.ceil(F.col("n") / hot).cast("int").alias("blocks")))
+    met = keyed.withColumn("short", short).where(SharedKeys(counted).holds("short")).join(counted, "short")
+    apart = (F.col("a.side") < F.col("b.side")) if across else (F.col("a.id") < F.col("b.id"))
+    same = (F.col("a.short") == F.col("b.short")) & (F.col("a.key") == F.col("b.key")) & apart & _birth_agrees("a", "b")
+    light, heavy = met.where("blocks = 1"), met.where("blocks > 1")
+    out = light.alias("a").join(light.alias("b"), same).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"))
+    if counted.where("blocks > 1").take(1):
+        # one stands in a block, the other comes to every block
+        a = heavy.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("a")
+        b = heavy.withColumn("block", F.pmod(F.hash("id"), "blocks")).alias("b")
+        out = out.unionByName(a.join(b, same & (F.col("a.block") == F.col("b.block"))).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")))
     return out.distinct()
 
 

@@ -115,3 +115,13 @@ def test_hot_keys_lose_nothing(spark):
     facts = spark.createDataFrame([(*r, 0) for r in rows], people.FEATURES)
     got = {(r.id1, r.id2) for r in linkage.candidates(facts, linkage.delete_keys, False, hot=8).collect()}
     assert {(i * 2, 200 + i * 2) for i in range(30)} <= got
+
+
+def test_all_pairs_of_a_hot_key_meet(spark):
+    rows = [(f"A-{i}", i * 2, 0, "kemox" if i % 2 else "kemax", "trostith", None, None, None, "M", -1, -1, -1, "", 0) for i in range(30)]
+    facts = spark.createDataFrame(rows, people.FEATURES)
+    got = {(r.id1, r.id2) for r in linkage.candidates(facts, linkage.delete_keys, False, hot=8).collect()}
+    assert got == {(i * 2, j * 2) for j in range(30) for i in range(j)}
+    both = spark.createDataFrame([(*r[:2], i % 2, *r[3:]) for i, r in enumerate(rows)], people.FEATURES)
+    got = {(r.id1, r.id2) for r in linkage.candidates(both, linkage.hamming_keys, True, hot=8).collect()}
+    assert got == {(i * 2, j * 2) for i in range(0, 30, 2) for j in range(1, 30, 2)}
