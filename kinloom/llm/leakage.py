@@ -1,9 +1,10 @@
 """Evaluation passages inside a corpus: broadcast n-gram hashes, one scan of every text, verified hits.
 
 Texts are read as their letters and digits alone, so case, accents, spacing, line breaks and markup do
-not matter. Windows of ``GRAM`` characters are looked up in the hash set of the items; where enough of
-them fall on one diagonal, the words are aligned and a hit is a run of at least ``least`` words of the
-item with at most one word in ``one_in`` changed, dropped or added.
+not matter. Windows of ``GRAM`` characters are looked up in the hash set of the items; where as many of
+them fall near one diagonal as the item's passages keep under the worst permitted edits (``kept``), the
+words are aligned, band by band, and a hit is a run of at least ``least`` words of the item with at most
+one word in ``one_in`` changed, dropped or added.
 
 Defined results: null and empty texts leak nothing; an item shorter than ``least`` words cannot leak;
 repeated document ids are scanned apart and reported once an item.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kinloom.session import parallelism
 
-GRAM = 20
+GRAM = 12
 DRIFT = 80
 MAX_ITEM_CHARS = 50_000_000
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.*?-->", re.S)
@@ -99,11 +100,27 @@ def _tokens(text: str) -> tuple[list[str], list[int]]:
     return tokens, of
 
 
+def kept(sizes: np.ndarray, least: int, one_in: int, gram: int = GRAM) -> int:
+    """Windows that every quote keeps, whichever words are edited; ``sizes``: characters of the item's words.
+
+    ``n`` words with ``e`` edits fall into ``e + 1`` intact runs, each of which loses ``gram - 1`` windows.
+    """
+    out = None
+    for n in sorted({least, *range(least + -least % one_in, len(sizes) + 1, one_in)}):
+        if n <= len(sizes):
+            e = n // one_in
+            words = np.lib.stride_tricks.sliding_window_view(sizes, n)
+            intact = words.sum(1) - np.sort(words, 1)[:, n - e :].sum(1)
+            least_here = int(intact.min()) - (e + 1) * (gram - 1)
+            out = least_here if out is None else min(out, least_here)
+    return max(1, out or 1)
+
+
 class Items:
     """Hashed windows and words of the evaluation items; size bounded by ``MAX_ITEM_CHARS``."""
 
-    def __init__(self, rows: list[tuple[int, str | None]]):
-        self.ids, self.words, self.of, hashes, owner, place = [], [], [], [], [], []
+    def __init__(self, rows: list[tuple[int, str | None]], least: int = 25, one_in: int = 8):
+        self.ids, self.words, self.of, gates, hashes, owner, place = [], [], [], [], [], [], []
         if sum(len(t or "") for _, t in rows) > MAX_ITEM_CHARS:
             raise ValueError(f"the items hold more than {MAX_ITEM_CHARS} characters")
         for item, text in rows:
@@ -112,12 +129,14 @@ class Items:
                 continue
             h = gram_hashes(s)
             tokens, of = _tokens(text)
+            gates.append(kept(np.bincount(of, weights=[len(w) for w in tokens]), least, one_in))
             hashes.append(h)
             owner.append(np.full(len(h), len(self.ids), np.int32))
             place.append(np.arange(len(h), dtype=np.int32))
             self.ids.append(item)
             self.words.append(tokens)
             self.of.append(of)
+        self.gates = np.array(gates, np.int64)
         none = np.zeros(0, np.uint64)
         h = np.concatenate(hashes) if hashes else none
         order = np.argsort(h, kind="stable")
@@ -201,7 +220,7 @@ def longest_quote(item: list[str], of: list[int], text: list[str], least: int, o
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least: int = 25, one_in: int = 8) -> DataFrame:
     """``doc_id, item_id, words, first, last``: the longest quote and the characters of the normalised text it lies in."""
     spark = documents.sparkSession
-    held = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in items.select(item_id, item_text).where(F.col(item_id).isNotNull()).collect()]))
+    held = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in items.select(item_id, item_text).where(F.col(item_id).isNotNull()).collect()], least, one_in))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         it = held.value
@@ -217,7 +236,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
                 order = np.argsort(key, kind="stable")
                 key, at, doc, owner = key[order], at[order], doc[order], owner[order]
                 n = np.searchsorted(key, key + DRIFT, "right") - np.arange(len(key))
-                dense = np.flatnonzero(n >= GRAM)
+                dense = np.flatnonzero(n >= it.gates[owner])
                 seen: dict = {}
                 tokens_of: dict = {}
                 for k in dense:

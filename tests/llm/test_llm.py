@@ -125,3 +125,15 @@ def test_all_pairs_of_a_hot_key_meet(spark):
     both = spark.createDataFrame([(*r[:2], i % 2, *r[3:]) for i, r in enumerate(rows)], people.FEATURES)
     got = {(r.id1, r.id2) for r in linkage.candidates(both, linkage.hamming_keys, True, hot=8).collect()}
     assert got == {(i * 2, j * 2) for i in range(0, 30, 2) for j in range(1, 30, 2)}
+
+
+def test_leak_with_three_spread_changes(spark):
+    words = "so if it is at an up or by we to on of as he do go in me my no us be am ox add old own far".split()
+    for places in ((6, 12, 18), (5, 11, 17), (7, 13, 19)):
+        quote = [("zzqj" if i in places else w) for i, w in enumerate(words[:25])]
+        got = leakage.find_leaks(spark.createDataFrame([(1, "lead " + " ".join(quote) + " tail")], "doc_id long, text string"), spark.createDataFrame([(9, " ".join(words))], "item_id long, item_text string"))
+        assert got.count() == 1
+    words = ITEM.split()
+    quote = [("quux" if i in (6, 12, 18) else w) for i, w in enumerate(words[:25])]
+    items = spark.createDataFrame([(9, ITEM)], "item_id long, item_text string")
+    assert leakage.find_leaks(spark.createDataFrame([(1, " ".join(quote))], "doc_id long, text string"), items).count() == 1
