@@ -27,6 +27,7 @@ from kinloom.session import parallelism
 
 GRAM = 12
 DRIFT = 80
+PADS = (5, 40)
 MAX_ITEM_CHARS = 50_000_000
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.*?-->", re.S)
 _BROKEN = re.compile("[Â-ß][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
@@ -237,21 +238,23 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
                 key, at, doc, owner = key[order], at[order], doc[order], owner[order]
                 n = np.searchsorted(key, key + DRIFT, "right") - np.arange(len(key))
                 dense = np.flatnonzero(n >= it.gates[owner])
-                seen: dict = {}
+                # bands start half a drift apart and are longer by as much, so each dense one lies whole in one of them
+                ends_at = np.searchsorted(key, key[dense] + DRIFT + DRIFT // 2, "right")
                 tokens_of: dict = {}
-                for k in dense:
-                    pair = (doc[k], owner[k])
-                    if n[k] > seen.get(pair, (0, 0))[0]:
-                        seen[pair] = (n[k], k)
-                for (d, o), (m, k) in seen.items():
+                done = -1
+                for k, end in zip(dense.tolist(), ends_at.tolist()):
+                    if key[k] <= done:
+                        continue
+                    done = key[k] + DRIFT // 2
+                    d, o = doc[k], owner[k]
                     if d not in tokens_of:
                         tokens = _WORD.findall(plain(b["text"].iloc[d]))
                         tokens_of[d] = (tokens, np.concatenate([[0], np.cumsum([len(w) for w in tokens])]))
                     tokens, ends = tokens_of[d]
-                    spots = at[k : k + m] - starts[d]
-                    lo = max(0, int(np.searchsorted(ends, spots.min(), "right")) - 1 - 40)
-                    hi = int(np.searchsorted(ends, spots.max() + GRAM, "left")) + 40
-                    words = longest_quote(it.words[o], it.of[o], _fit(it.words[o], tokens[lo:hi]), least, one_in)
+                    spots = at[k:end] - starts[d]
+                    first, last = int(np.searchsorted(ends, spots.min(), "right")) - 1, int(np.searchsorted(ends, spots.max() + GRAM, "left"))
+                    # few words around keep another excerpt out of the alignment, more take in a beginning or end without hits
+                    words = max(longest_quote(it.words[o], it.of[o], _fit(it.words[o], tokens[max(0, first - pad) : last + pad]), least, one_in) for pad in PADS)
                     if words >= least:
                         out.append((b["doc_id"].iloc[d], it.ids[o], words, int(spots.min()), int(spots.max()) + GRAM))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "words", "first", "last"])

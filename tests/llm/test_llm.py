@@ -137,3 +137,13 @@ def test_leak_with_three_spread_changes(spark):
     quote = [("quux" if i in (6, 12, 18) else w) for i, w in enumerate(words[:25])]
     items = spark.createDataFrame([(9, ITEM)], "item_id long, item_text string")
     assert leakage.find_leaks(spark.createDataFrame([(1, " ".join(quote))], "doc_id long, text string"), items).count() == 1
+
+
+def test_leak_beside_a_shorter_excerpt(spark):
+    words = ITEM.split()
+    changed = words[:]
+    changed[6], changed[13], changed[20] = "quux", "quux", "quux"
+    filler = " ".join(f"gap{i}" for i in range(100))
+    items = spark.createDataFrame([(9, ITEM)], "item_id long, item_text string")
+    docs = [(1, " ".join(words[:24]) + f" {filler} " + " ".join(changed[:25])), (2, " ".join(changed[:25]) + f" {filler} " + " ".join(words[:24])), (3, " ".join(words[:24]) + f" {filler} " + " ".join(words[:24]))]
+    assert {r.doc_id for r in leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()} == {1, 2}
