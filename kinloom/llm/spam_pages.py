@@ -5,8 +5,9 @@ and sentences that repeat themselves or each other. Then its two-word phrases ar
 phrase that distinct hosts use, mostly on dense pages, is a stuffing phrase. A page is flagged if more
 than ``share`` of its characters lie in dense segments or in segments stitched from such phrases.
 
-Hosts are counted in 64-bit bitmaps that merge with OR, so a phrase costs two numbers a task; the
-stuffing phrases go back to the pages as a bit field of fixed size.
+Hosts are counted exactly. The phrase numbers of every page are written once; those of dense pages name
+the phrases of enough dense hosts, and of the other pages only these phrases are counted. Phrases go back
+to the pages as a bit field of fixed size.
 
 Defined results: null and blank texts score 0 and are not flagged; pages without a host count as one
 host together; a repeated page id is scored once a row.
@@ -24,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.session import cut, store
+
 FIELD_BITS = 1 << 24
 # Words that sentences of the four languages cannot do without.
 _FUNCTION = frozenset(
@@ -127,41 +130,53 @@ def _density(parts: list[tuple[str, list[str], str]]) -> float:
     return sum(len(s) for s, _, k in parts if k) / total if total else 0.0
 
 
+def _field(phrases: DataFrame) -> np.ndarray:
+    """Bits of the phrases, modulo ``FIELD_BITS``; FIELD_BITS / 62 numbers at most come back."""
+    spot = F.pmod("phrase", F.lit(FIELD_BITS))
+    rows = phrases.select((spot / 62).cast("long").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(pmod(phrase, {FIELD_BITS}), 62) as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
+    field = np.zeros(FIELD_BITS + 62, bool)
+    for r in rows:
+        field[r.at * 62 : r.at * 62 + 62] |= (r.bits >> np.arange(62)) & 1 == 1
+    return field
+
+
+def _hosts(read: DataFrame, known=None) -> DataFrame:
+    """``phrase, n``: distinct hosts of each phrase; ``known``: a broadcast bit field of the phrases to count."""
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = None if known is None else np.unpackbits(np.frombuffer(known.value, np.uint8)).astype(bool)
+        for b in batches:
+            got = []
+            for host, group in b.groupby("host"):
+                p = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in group["phrases"]]))
+                p = p if bits is None else p[bits[p % FIELD_BITS]]
+                got.append(pd.DataFrame({"phrase": p, "host": np.full(len(p), host, np.int64)}))
+            if got:
+                yield pd.concat(got)
+
+    return read.mapInPandas(pairs, "phrase long, host long").distinct().groupBy("phrase").agg(F.count("*").alias("n"))
+
+
 def stuffing_field(pages: DataFrame, dense: float = 0.4, hosts: int = 2, purity: float = 0.7) -> bytes:
     """Bit field of the phrases that at least ``hosts`` hosts use on dense pages, ``purity`` of all their hosts."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Numbers()
         for b in batches:
-            phrases, on, off = [], [], []
+            rows = []
             for text, host in zip(b["text"], b["host"]):
                 parts = evidence(text)
                 words = [w for _, ws, _ in parts for w in ws]
-                if len(words) < 2:
-                    continue
-                p = np.unique(_phrases(_ids(words, known)))
-                bit = np.uint64(1) << np.uint64(zlib.crc32((host or "").encode()) & 63)
-                is_dense = _density(parts) > dense
-                phrases.append(p)
-                on.append(np.full(len(p), bit if is_dense else 0, np.uint64))
-                off.append(np.full(len(p), 0 if is_dense else bit, np.uint64))
-            if not phrases:
-                continue
-            p, a, o = np.concatenate(phrases), np.concatenate(on), np.concatenate(off)
-            order = np.argsort(p, kind="stable")
-            p, a, o = p[order], a[order], o[order]
-            first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-            yield pd.DataFrame({"phrase": p[first].view(np.int64), "dense": np.bitwise_or.reduceat(a, first).view(np.int64), "other": np.bitwise_or.reduceat(o, first).view(np.int64)})
-
-    counted = pages.mapInPandas(count, "phrase long, dense long, other long").groupBy("phrase").agg(F.bit_or("dense").alias("dense"), F.bit_or("other").alias("other"))
-    on, off = F.bit_count("dense"), F.bit_count("other")
-    spot = F.pmod("phrase", F.lit(FIELD_BITS))
-    # FIELD_BITS / 62 numbers at most come back
-    rows = counted.where((on >= hosts) & (on >= purity * (on + off))).select((spot / 62).cast("long").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(pmod(phrase, {FIELD_BITS}), 62) as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
-    field = np.zeros(FIELD_BITS + 62, bool)
-    for r in rows:
-        field[r.at * 62 : r.at * 62 + 62] |= (r.bits >> np.arange(62)) & 1 == 1
-    return np.packbits(field).tobytes()
+                if len(words) > 1:
+                    rows.append((host, _density(parts) > dense, np.unique(_phrases(_ids(words, known))).tobytes()))
+            yield pd.DataFrame(rows, columns=["host", "dense", "phrases"])
+
+    source = pages.select("text", F.xxhash64(F.coalesce("host", F.lit(""))).alias("host"))
+    seen = store(source.mapInPandas(read, "host long, dense boolean, phrases binary"))
+    on = cut(_hosts(seen.where("dense")).where(F.col("n") >= hosts))
+    few = pages.sparkSession.sparkContext.broadcast(np.packbits(_field(on)).tobytes())
+    off = _hosts(seen.where("not dense"), few).withColumnRenamed("n", "other")
+    return np.packbits(_field(on.join(off, "phrase", "left").where(F.col("n") >= purity * (F.col("n") + F.coalesce("other", F.lit(0)))))).tobytes()
 
 
 def score_pages(pages: DataFrame, page_id: str = "doc_id", text: str = "text", host: str = "assignee", share: float = 0.5) -> DataFrame:

@@ -147,3 +147,13 @@ def test_leak_beside_a_shorter_excerpt(spark):
     items = spark.createDataFrame([(9, ITEM)], "item_id long, item_text string")
     docs = [(1, " ".join(words[:24]) + f" {filler} " + " ".join(changed[:25])), (2, " ".join(changed[:25]) + f" {filler} " + " ".join(words[:24])), (3, " ".join(words[:24]) + f" {filler} " + " ".join(words[:24]))]
     assert {r.doc_id for r in leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()} == {1, 2}
+
+
+def test_hosts_are_counted_beyond_64(spark):
+    stuffed, sentence = "cheap {0} pills\n" * 6, "The valve is fitted to the drum by means of cheap {0} pills in the crate."
+    rows = [(stuffed.format("blue"), f"h{i}") for i in range(300)] + [(sentence.format("blue"), f"h{i}") for i in range(100)]
+    rows += [(stuffed.format("red"), f"h{i}") for i in range(200)] + [(sentence.format("red"), f"h{i}") for i in range(300)]
+    field = np.unpackbits(np.frombuffer(spam_pages.stuffing_field(spark.createDataFrame(rows, "text string, host string")), np.uint8))
+    known = spam_pages._Numbers()
+    spot = lambda *w: int(spam_pages._phrases(spam_pages._ids(list(w), known)).view(np.int64)[0] % spam_pages.FIELD_BITS)
+    assert field[spot("cheap", "blue")] == 1 and field[spot("cheap", "red")] == 0
