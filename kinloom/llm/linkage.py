@@ -20,6 +20,7 @@ once (callers pass records once); nulls never agree with anything.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -91,7 +92,7 @@ def delete_keys(given, family, lo, hi, prec, kin) -> list[str]:
 
 
 def _keyed(facts: DataFrame, make) -> DataFrame:
-    """``key, id, side, lo, hi, prec`` of every record."""
+    """``key, id, side, lo, hi, prec, rest`` of every record."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -101,26 +102,39 @@ def _keyed(facts: DataFrame, make) -> DataFrame:
                 got = set(make(g, f, *((None, None, None) if prec is None or prec != prec else (int(lo), int(hi), int(prec))), kin))
                 keys += got
                 at += [i] * len(got)
-            out = b[["id", "side", "lo", "hi", "prec"]].iloc[at].reset_index(drop=True)
+            out = b[["id", "side", "lo", "hi", "prec", "rest"]].iloc[at].reset_index(drop=True)
             out.insert(0, "key", keys)
             yield out
 
-    read = facts.select("id", "side", "lo", "hi", "prec", "given", "family", "kin").repartition(parallelism(facts.sparkSession))
-    return read.mapInPandas(emit, "key string, id long, side int, lo int, hi int, prec int")
+    kins = F.least(F.size(F.filter(F.split("kin", ";"), lambda k: k != "")), F.lit(2))
+    sex = F.when(F.col("sex") == "M", 1).when(F.col("sex") == "F", 2).otherwise(0)
+    rest = sum((F.shiftleft(x.cast("long"), at) for x, at in ((kins, 2), (F.col("nation") + 1, 4), (F.col("seen") + 1, 20), (F.col("origin") + 1, 40))), sex.cast("long"))
+    read = facts.select("id", "side", "lo", "hi", "prec", rest.alias("rest"), "given", "family", "kin").repartition(parallelism(facts.sparkSession))
+    return read.mapInPandas(emit, "key string, id long, side int, lo int, hi int, prec int, rest long")
 
 
-def _birth_agrees(a: str, b: str):
-    """Windows that meet nearly, one of them wide, or days one slip apart: the rest cannot reach the points needed."""
+def _most(a: str, b: str):
+    """Points of ``people.score`` if the names are equal and all relatives of ``a`` are found; never less than its points."""
     gap = F.greatest(F.col(f"{a}.lo") - F.col(f"{b}.hi"), F.col(f"{b}.lo") - F.col(f"{a}.hi"))
     worse = F.greatest(f"{a}.prec", f"{b}.prec")
     day = lambda x: F.date_format(F.date_from_unix_date(f"{x}.lo"), "yyyyMMdd")
     swapped = F.date_format(F.date_from_unix_date(f"{b}.lo"), "yyyyddMM")
     slip = (F.levenshtein(day(a), day(b), 1) >= 0) | (day(a) == swapped)
-    return gap.isNull() | (gap <= 40) | ((worse == people.WIDE) & (gap <= 740)) | ((worse == people.EXACT) & slip)
-
-
-def candidates(facts: DataFrame, make, across: bool, hot: int = HOT) -> DataFrame:
-    """Distinct ``id1, id2`` that share a key; ``across``: one of side 0 and one of side 1, else within a side."""
+    birth = (
+        F.when(gap.isNull(), 0.0).when(gap <= 0, 5.5)
+        .when(worse == people.EXACT, F.when(slip, -2.0).otherwise(-9.0))
+        .when((worse == people.WIDE) & (gap <= 366), -1.5).when(gap <= 40, -3.0).otherwise(-8.0)
+    )
+    points = birth + F.lit(7.0)
+    for at, width, same, other in ((0, 2, 0.4, -4.0), (4, 16, 0.7, -1.5), (20, 20, 1.0, -0.2), (40, 20, 2.2, -2.0)):
+        x, y = (F.shiftright(f"{r}.rest", at).bitwiseAND((1 << width) - 1) for r in (a, b))
+        points = points + F.when((x == 0) | (y == 0), 0.0).when(x == y, same).otherwise(other)
+    x, y = (F.shiftright(f"{r}.rest", 2).bitwiseAND(3) for r in (a, b))
+    return points + F.when((x == 0) | (y == 0), 0.0).when(x == 1, 2.4).otherwise(4.0)
+
+
+def candidates(facts: DataFrame, make, across: bool, hot: int = HOT, need: float = 4.9) -> DataFrame:
+    """Distinct ``id1, id2`` that share a key and may reach ``need`` points; ``across``: one of side 0 and one of side 1, else within a side."""
     keyed = _keyed(facts, make)
     short = F.hash("key")
     keyed = keyed.withColumn("key", F.xxhash64("key") if across else F.xxhash64("key", "side"))
@@ -129,7 +143,7 @@ def candidates(facts: DataFrame, make, across: bool, hot: int = HOT) -> DataFram
     counted = cut(counted.select("short", F.ceil(F.col("n") / hot).cast("int").alias("blocks")))
     met = keyed.withColumn("short", short).where(SharedKeys(counted).holds("short")).join(counted, "short")
     apart = (F.col("a.side") < F.col("b.side")) if across else (F.col("a.id") < F.col("b.id"))
-    same = (F.col("a.short") == F.col("b.short")) & (F.col("a.key") == F.col("b.key")) & apart & _birth_agrees("a", "b")
+    same = (F.col("a.short") == F.col("b.short")) & (F.col("a.key") == F.col("b.key")) & apart & (_most("a", "b") >= need - 1e-6)
     light, heavy = met.where("blocks = 1"), met.where("blocks > 1")
     out = light.alias("a").join(light.alias("b"), same).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"))
     if counted.where("blocks > 1").take(1):
@@ -196,11 +210,12 @@ def weighted_dice(x: tuple, y: tuple) -> float:
 
 def match_sources(facts: DataFrame, middle: float = 5.5, least: float = 0.5) -> DataFrame:
     """``record_id_1`` (side 0), ``record_id_2`` (side 1), ``confidence``."""
-    found = scored(facts, candidates(facts, hamming_keys, across=True), dice=True)
+    need = middle + math.log(least / (1 - least)) / 0.9 - 0.6  # weighted_dice adds 0.6 at most
+    found = scored(facts, candidates(facts, hamming_keys, across=True, need=need), dice=True)
     return found.select("record_id_1", "record_id_2", (1 / (1 + F.exp(-0.9 * (F.col("points") - middle)))).alias("confidence")).where(F.col("confidence") >= least)
 
 
 def link_variants(facts: DataFrame, middle: float = 5.5) -> DataFrame:
     """``record_id_1 < record_id_2`` of one person inside a side."""
-    found = scored(facts, candidates(facts, delete_keys, across=False), dice=False).where(F.col("points") >= middle)
+    found = scored(facts, candidates(facts, delete_keys, across=False, need=middle), dice=False).where(F.col("points") >= middle)
     return found.select(F.least("record_id_1", "record_id_2").alias("record_id_1"), F.greatest("record_id_1", "record_id_2").alias("record_id_2"), "points", "respelled")

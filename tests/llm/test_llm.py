@@ -157,3 +157,14 @@ def test_hosts_are_counted_beyond_64(spark):
     known = spam_pages._Numbers()
     spot = lambda *w: int(spam_pages._phrases(spam_pages._ids(list(w), known)).view(np.int64)[0] % spam_pages.FIELD_BITS)
     assert field[spot("cheap", "blue")] == 1 and field[spot("cheap", "red")] == 0
+
+
+def test_other_birth_is_outweighed(spark):
+    one = ("A-1", 2, 0, "kemox", "trostith", 1000, 1000, 0, "M", 1, 2, 3, "ana trostith;ben trostith", 1)
+    far = ("A-2", 4, 0, *one[3:5], 5037, 5037, *one[7:13], 2)
+    bare = ("A-3", 6, 0, *one[3:5], 9074, 9074, 0, "M", -1, -1, -1, "", 3)
+    facts = spark.createDataFrame([one, far, bare], people.FEATURES)
+    assert [(r.record_id_1, r.record_id_2) for r in linkage.link_variants(facts).collect()] == [("A-1", "A-2")]
+    assert {(r.id1, r.id2) for r in linkage.candidates(facts, linkage.delete_keys, False).collect()} == {(2, 4)}
+    both = spark.createDataFrame([one, (*far[:2], 1, *far[3:])], people.FEATURES)
+    assert linkage.match_sources(both).count() == 1
