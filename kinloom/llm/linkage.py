@@ -1,221 +1,262 @@
 """Records of one person: across registries by bit vectors, inside a registry by delete neighbourhoods.
 
-Both find candidates by equal keys, so no record meets another without a shared key. Keys held by more
-than ``HOT`` records are split into blocks of about that many, and each record of the crowd meets every
-block, so all pairs of a key meet and no join key grows with the square of a crowd. Candidates are scored
-field by field (``people.score``).
-
-``match_sources``: the names, kin and day of birth of a record are q-gram bit vectors of fixed layout.
-A pair of name words is a code of four substrings (beginning and end of each); tables over every three
-of them find all codes that differ within one substring, hence all within Hamming distance 1, and day and
-kin substrings pair with beginnings and ends likewise. Dice coefficients of the vectors, weighted by
-field, and the field scores give a confidence.
-
-``link_variants``: a name word stands with all words one letter shorter (of its sound), beside the other
-name word, so words one slip apart meet; then words are aligned, initials and short forms permitted.
-
-Defined results: records without a usable name or attribute give no key and no row; repeated ids count
-once (callers pass records once); nulls never agree with anything.
+Both first find, for the distinct name words, the common words that rare ones are respellings of
+(``tokens``, a symmetric-delete index), so records meet under equal words although they were typed
+differently. Then records are indexed by pairs of what they say (``keyed``): a name word beside the
+beginning of another, beside the day of birth, beside a relative. Pairs under one key whose births, sexes
+and list entries leave enough points (``people.most_points``, a bound, so nothing acceptable is lost) are
+scored field by field.
+
+``match_sources``: every name word is a bit vector of its two-letter grams and a record's code the row of
+its attributes' vectors. The key is a pair of these substrings, as in multi-index hashing: all codes that
+agree in two of the indexed substrings are found, whatever the others hold. Dice coefficients of the
+vectors, weighted by field, and the points of the fields give a confidence, whose slope and middle are
+fitted to a bounded sample of reviewers' decisions (``calibrate``).
+
+``link_variants``: the words of both names are assigned to each other, initials, abbreviations and short
+forms permitted.
+
+Crowds: a key is as large as its word at most. Keys of words held by more than ``HOT`` records also hold
+the years of birth, in stretches of ``STRETCH`` days; a record of unknown birth stands in every stretch, so
+every pair of compatible births still meets. The join itself is split by adaptive execution.
+
+Defined results: records without a usable name or attribute give no key and no row; repeated rows count
+once; nulls never agree with anything.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm import people
-from kinloom.llm.text import deletes, sound
-from kinloom.session import cut, parallelism
-
-HOT = 200
-
-
-def gram_bits(word: str, width: int = 63) -> int:
-    """Bit vector of the padded two-letter grams of a word."""
-    padded, out = f"^{word}$", 0
-    for i in range(len(padded) - 1):
-        out |= 1 << crc32(padded[i : i + 2].encode()) % width
-    return out
-
-
-def _halves(word: str) -> tuple[int, int]:
-    """Substrings of a word's code: grams of its beginning and of its end."""
-    return gram_bits(word[:3] + "<", 31), gram_bits(">" + word[-3:], 31)
-
-
-def _days(lo, hi, prec) -> list[int]:
-    if prec == people.EXACT:
-        return [lo]
-    return [lo, lo + 1, hi] if prec == people.NEAR else []
-
-
-def _sounds(given: str, family: str, kin: str) -> tuple[list[str], list[str]]:
-    names = list(dict.fromkeys(sound(w) for w in (given + " " + family).split() if len(w) > 1))[:5]
-    return names, list(dict.fromkeys(sound(k.split()[0]) for k in kin.split(";") if k))[:6]
-
-
-def hamming_keys(given, family, lo, hi, prec, kin) -> list[str]:
-    names, kins = _sounds(given, family, kin)
-    half = {w: "%x.%x" % _halves(w) for w in {*names, *kins}}
-    keys = []
-    for a in names:
-        first, last = half[a].split(".")
-        for b in names:
-            if a != b:
-                keys += (f"s{half[b]}/{first}", f"e{half[b]}/{last}")
-        for d in _days(lo, hi, prec):
-            keys += (f"ds{d}/{first}", f"de{d}/{last}")
-        keys += (f"k{half[k]}/{half[a]}" for k in kins)
-    return keys
-
-
-def delete_keys(given, family, lo, hi, prec, kin) -> list[str]:
-    names, kins = _sounds(given, family, kin)
-    called = {sound(w) for w in given.split()}
-    keys = []
-    for a in names:
-        for b in names:
-            if a != b:
-                keys += (f"s{a}/{b[:3]}", f"e{a}/{b[-3:]}")  # short forms share a beginning, damaged ones an end
-                if b in called or not called:
-                    keys += (f"n{a}/{x}" for x in (deletes(b, 1) if len(b) <= 64 else (b,)))
-        for d in _days(lo, hi, prec):
-            keys += (f"ds{d}/{a[:3]}", f"de{d}/{a[-3:]}")
-        keys += (f"k{k}/{a}" for k in kins)
-    return keys
-
-
-def _keyed(facts: DataFrame, make) -> DataFrame:
-    """``key, id, side, lo, hi, prec, rest`` of every record."""
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+from kinloom.llm import people, tokens
+from kinloom.session import cut
+
+HOT = 20_000
+STRETCH = 5 * 365
+KEYED = "key long, id long, sig long"
+MIDDLE, SLOPE = 5.5, 0.9
+LABELS = 20_000
+_KEY = [c.split()[0] for c in KEYED.split(", ")]
+
+
+def _mix(*parts: np.ndarray | int) -> np.ndarray:
+    """One number of several."""
+    out = np.zeros(1, np.uint64)
+    for p in parts:
+        p = p.view(np.uint64) if isinstance(p, np.ndarray) else np.uint64(p)
+        out = (out ^ p) * np.uint64(0x9E3779B97F4A7C15)
+        out = out ^ (out >> np.uint64(29))
+    return out.view(np.int64)
+
+
+def _inside(times: np.ndarray) -> np.ndarray:
+    """0, 1, ... for every repetition."""
+    return np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _cross(at1: np.ndarray, x: np.ndarray, at2: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and all pairs of ``x`` and ``y`` that stand at the same row; both sorted by row."""
+    starts, counts = np.searchsorted(at2, np.arange(n)), np.bincount(at2, minlength=n)
+    times = counts[at1]
+    return np.repeat(at1, times), np.repeat(x, times), y[np.repeat(starts[at1], times) + _inside(times)]
+
+
+def _merge(at1: np.ndarray, x: np.ndarray, at2: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at, both = np.concatenate([at1, at2]), np.concatenate([x, y])
+    order = np.argsort(at, kind="stable")
+    return at[order], both[order]
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and values of a column of lists."""
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def batch_keys(ids: np.ndarray, sig: np.ndarray, given, family, kin, words: tokens.Lookup, across: bool) -> list[np.ndarray]:
+    """Keys, ids and signatures of a batch; names are ``(rows, tokens)`` sorted by row."""
+    n = len(ids)
+    (ga, g), (fa, f), (ka, k) = (words.expand(*x) for x in (given, family, kin))
+    na, names = _merge(ga, g, fa, f)
+    alone = np.bincount(fa, minlength=n)[ga] == 0
+    la, last = _merge(fa, f, ga[alone], g[alone])  # family names, or all names where there is one field
+    rows, keys, common = [], [], []
+
+    def add(at, kind, word, other):
+        rows.append(at)
+        keys.append(_mix(kind, words.head[word], other))
+        common.append(words.n[word])
+
+    at, x, y = _cross(na, names, na, names, n)
+    other = words.head[x] != words.head[y]
+    add(at[other], 1, x[other], words.prefix[y[other]])
+    at, x, y = _cross(na, names, ka, k, n)
+    other = words.head[x] != words.head[y]
+    add(at[other], 2, x[other], words.head[y[other]])
+    day, span, born = sig & ((1 << 17) - 1), (sig >> people.SPAN) & ((1 << 13) - 1), (sig >> people.BORN) & 1 == 1
+    days = np.where(born & (span <= 2), span + 1, 0)
+    at, x, d = _cross(la, last, np.repeat(np.arange(n), days), np.repeat(day, days) + _inside(days), n)
+    add(at, 3, x, d)
+    at, key, common = np.concatenate(rows), np.concatenate(keys), np.concatenate(common)
+    if not across:
+        key = _mix(key, (ids & 1)[at])
+    hot = common > HOT
+    if hot.any():
+        first = np.where(born, day, 0) // STRETCH
+        end = np.where(born, np.minimum(day + span, (1 << 17) - 1), (1 << 17) - 1) // STRETCH
+        times = np.where(hot, (end - first)[at] + 1, 1)
+        stretch = np.repeat(first[at], times) + _inside(times)
+        at, key, hot = np.repeat(at, times), np.repeat(key, times), np.repeat(hot, times)
+        key = np.where(hot, _mix(key, stretch), key)
+    order = np.lexsort((key, at))
+    at, key = at[order], key[order]
+    once = np.ones(len(at), bool)
+    once[1:] = (at[1:] != at[:-1]) | (key[1:] != key[:-1])
+    return [key[once], ids[at[once]], sig[at[once]]]
+
+
+def keyed(facts: DataFrame, resolved: DataFrame, across: bool) -> DataFrame:
+    """``key, id, sig``: the keys of every record, from its words and their heads."""
+    spark = facts.sparkSession
+    resolved = cut(resolved)
+    if resolved.count() <= tokens.MAX_BROADCAST:
+        rows = resolved.toPandas()
+        held = spark.sparkContext.broadcast(tokens.Lookup(*(rows[c].to_numpy(np.int64) for c in tokens.RESOLVED)))
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                names = [_flat(b.column(c)) for c in ("gt", "ft", "kt")]
+                got = batch_keys(b.column("id").to_numpy(), b.column("sig").to_numpy(), *names, held.value, across)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], _KEY)
+
+        return facts.select("id", "sig", "gt", "ft", "kt").mapInArrow(emit, KEYED)
+    return joined_keys(facts, resolved, across)
+
+
+def joined_keys(facts: DataFrame, resolved: DataFrame, across: bool) -> DataFrame:
+    """``keyed`` for a vocabulary too large to send to every task: heads are joined to the words."""
+    parts = [facts.select("id", "sig", F.lit(i).alias("role"), F.explode(c).alias("token")) for i, c in enumerate(("gt", "ft", "kt"))]
+    met = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(resolved, "token")
+    whole = met.groupBy("id").agg(F.first("sig").alias("sig"), F.collect_set(F.struct("role", *tokens.RESOLVED)).alias("words"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, at = [], []
-            cols = [b[c].tolist() for c in ("given", "family", "lo", "hi", "prec", "kin")]
-            for i, (g, f, lo, hi, prec, kin) in enumerate(zip(*cols)):
-                got = set(make(g, f, *((None, None, None) if prec is None or prec != prec else (int(lo), int(hi), int(prec))), kin))
-                keys += got
-                at += [i] * len(got)
-            out = b[["id", "side", "lo", "hi", "prec", "rest"]].iloc[at].reset_index(drop=True)
-            out.insert(0, "key", keys)
-            yield out
-
-    kins = F.least(F.size(F.filter(F.split("kin", ";"), lambda k: k != "")), F.lit(2))
-    sex = F.when(F.col("sex") == "M", 1).when(F.col("sex") == "F", 2).otherwise(0)
-    rest = sum((F.shiftleft(x.cast("long"), at) for x, at in ((kins, 2), (F.col("nation") + 1, 4), (F.col("seen") + 1, 20), (F.col("origin") + 1, 40))), sex.cast("long"))
-    read = facts.select("id", "side", "lo", "hi", "prec", rest.alias("rest"), "given", "family", "kin").repartition(parallelism(facts.sparkSession))
-    return read.mapInPandas(emit, "key string, id long, side int, lo int, hi int, prec int, rest long")
-
-
-def _most(a: str, b: str):
-    """Points of ``people.score`` if the names are equal and all relatives of ``a`` are found; never less than its points."""
-    gap = F.greatest(F.col(f"{a}.lo") - F.col(f"{b}.hi"), F.col(f"{b}.lo") - F.col(f"{a}.hi"))
-    worse = F.greatest(f"{a}.prec", f"{b}.prec")
-    day = lambda x: F.date_format(F.date_from_unix_date(f"{x}.lo"), "yyyyMMdd")
-    swapped = F.date_format(F.date_from_unix_date(f"{b}.lo"), "yyyyddMM")
-    slip = (F.levenshtein(day(a), day(b), 1) >= 0) | (day(a) == swapped)
-    birth = (
-        F.when(gap.isNull(), 0.0).when(gap <= 0, 5.5)
-        .when(worse == people.EXACT, F.when(slip, -2.0).otherwise(-9.0))
-        .when((worse == people.WIDE) & (gap <= 366), -1.5).when(gap <= 40, -3.0).otherwise(-8.0)
-    )
-    points = birth + F.lit(7.0)
-    for at, width, same, other in ((0, 2, 0.4, -4.0), (4, 16, 0.7, -1.5), (20, 20, 1.0, -0.2), (40, 20, 2.2, -2.0)):
-        x, y = (F.shiftright(f"{r}.rest", at).bitwiseAND((1 << width) - 1) for r in (a, b))
-        points = points + F.when((x == 0) | (y == 0), 0.0).when(x == y, same).otherwise(other)
-    x, y = (F.shiftright(f"{r}.rest", 2).bitwiseAND(3) for r in (a, b))
-    return points + F.when((x == 0) | (y == 0), 0.0).when(x == 1, 2.4).otherwise(4.0)
-
-
-def candidates(facts: DataFrame, make, across: bool, hot: int = HOT, need: float = 4.9) -> DataFrame:
-    """Distinct ``id1, id2`` that share a key and may reach ``need`` points; ``across``: one of side 0 and one of side 1, else within a side."""
-    keyed = _keyed(facts, make)
-    short = F.hash("key")
-    keyed = keyed.withColumn("key", F.xxhash64("key") if across else F.xxhash64("key", "side"))
-    # keys are counted by 32 bits of them, combined before they move; keys of one record end here
-    counted = keyed.select(short.alias("short"), "side").groupBy("short").agg(F.count("*").cast("int").alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1")).where((F.col("n") > 1) & ((F.col("s0") < F.col("s1")) if across else F.lit(True)))
-    counted = cut(counted.select("short", F.ceil(F.col("n") / hot).cast("int").alias("blocks")))
-    met = keyed.withColumn("short", short).where(SharedKeys(counted).holds("short")).join(counted, "short")
-    apart = (F.col("a.side") < F.col("b.side")) if across else (F.col("a.id") < F.col("b.id"))
-    same = (F.col("a.short") == F.col("b.short")) & (F.col("a.key") == F.col("b.key")) & apart & (_most("a", "b") >= need - 1e-6)
-    light, heavy = met.where("blocks = 1"), met.where("blocks > 1")
-    out = light.alias("a").join(light.alias("b"), same).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"))
-    if counted.where("blocks > 1").take(1):
-        # one stands in a block, the other comes to every block
-        a = heavy.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("a")
-        b = heavy.withColumn("block", F.pmod(F.hash("id"), "blocks")).alias("b")
-        out = out.unionByName(a.join(b, same & (F.col("a.block") == F.col("b.block"))).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")))
-    return out.distinct()
-
-
-class SharedKeys:
-    """A bit field of fixed size over the keys that several records hold; others are dropped where they stand."""
-
-    BITS = 1 << 26
-
-    def __init__(self, counted: DataFrame):
-        words = counted.select(F.pmod("short", F.lit(self.BITS)).alias("bit")).groupBy((F.col("bit") / 62).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 62 as int)))").alias("bits"))
-        field = np.zeros(self.BITS // 62 + 1, np.int64)
-        got = words.toPandas()  # at most BITS / 62 numbers
-        field[got["at"].to_numpy()] = got["bits"].to_numpy()
-        self.field = counted.sparkSession.sparkContext.broadcast(field)
-
-    def holds(self, column: str):
-        held, bits = self.field, self.BITS
-
-        @F.pandas_udf("boolean")
-        def known(short: pd.Series) -> pd.Series:
-            bit = short.to_numpy().astype(np.int64) % bits
-            return pd.Series(held.value[bit // 62] >> (bit % 62) & 1 == 1)
-
-        return known(column)
-
-
-def scored(facts: DataFrame, pairs: DataFrame, dice: bool) -> DataFrame:
-    """``record_id_1, record_id_2, points, respelled``; ``respelled``: the names as typed differ."""
-    cols = ["record_id", "spelled", *people.COLUMNS]
-    one, two = (facts.select("id", *cols).toDF(f"id{i}", *(f"{c}{i}" for c in cols)) for i in (1, 2))
+            at, w = np.repeat(np.arange(b.num_rows), np.diff(b.column("words").offsets.to_numpy())), b.column("words").flatten()
+            role = w.field("role").to_numpy()
+            columns = [w.field(c).to_numpy() for c in tokens.RESOLVED]
+            names = []
+            for i in range(3):
+                own = np.unique(np.stack([at[role == i], columns[0][role == i]]), axis=1)
+                names.append((own[0], own[1]))
+            got = batch_keys(b.column("id").to_numpy(), b.column("sig").to_numpy(), *names, tokens.Lookup(*columns), across)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], _KEY)
+
+    return whole.mapInArrow(emit, KEYED)
+
+
+def candidates(facts: DataFrame, across: bool, need: float) -> DataFrame:
+    """Distinct ``id1, id2`` that share a key and may reach ``need`` points; ``across``: of both sides, else of one."""
+    words = tokens.vocabulary(facts)
+    keys = keyed(facts, tokens.resolved(words, tokens.by_deletes(words), vectors=across), across)
+    a, b = keys.alias("a"), keys.alias("b")
+    side = lambda x: F.col(f"{x}.id").bitwiseAND(F.lit(1).cast("long"))
+    apart = side("a") < side("b") if across else F.col("a.id") < F.col("b.id")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & (people.most_points("a.sig", "b.sig") >= need - 1e-6))
+    return met.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).distinct()
+
+
+def scored(facts: DataFrame, pairs: DataFrame, least: float, dice: bool) -> DataFrame:
+    """``record_id_1, record_id_2, points, respelled`` of the pairs that reach ``least`` points.
+
+    ``respelled``: the names as typed differ. Further columns of ``pairs`` are kept, and then all its rows.
+    """
+    more = [c for c in pairs.columns if c not in ("id1", "id2")]
+    cols = ["record_id", "spelled", "given", "family", "kin", "sig", "places"]
+    once = facts.select("id", *cols).dropDuplicates(["id"])
+    one, two = (once.select(F.col("id").alias(f"id{i}"), *(F.col(c).alias(f"{c}{i}") for c in cols)) for i in (1, 2))
     met = pairs.join(one, "id1").join(two, "id2").drop("id1", "id2")
+    most = people.KINS[2] + (MOST_DICE if dice else 0.0)
 
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = {c: [None if v != v else v for v in b[c].tolist()] if c[:-1] in ("lo", "hi", "prec") else b[c].tolist() for c in b.columns}
-            x, y = (zip(*(columns[f"{c}{i}"] for c in people.COLUMNS)) for i in (1, 2))
-            points = [people.score(p, q) + (weighted_dice(p, q) if dice else 0.0) for p, q in zip(x, y)]
-            yield pd.DataFrame({"record_id_1": b["record_id1"], "record_id_2": b["record_id2"], "points": points, "respelled": b["spelled1"] != b["spelled2"]})
-
-    return met.mapInPandas(rate, "record_id_1 string, record_id_2 string, points double, respelled boolean")
-
-
-def weighted_dice(x: tuple, y: tuple) -> float:
-    """Points from the Dice coefficients of the names' and kin's bit vectors, around their usual middle."""
+            sig1, sig2, at1, at2 = (b.column(c).to_numpy() for c in ("sig1", "sig2", "places1", "places2"))
+            plain = people.plain_points(sig1, sig2) + people.exact_entries(at1, at2)
+            points = np.full(b.num_rows, -99.0)
+            open_ = np.arange(b.num_rows) if more else np.flatnonzero(plain + people.NAMES + most >= least)
+            rows = zip(open_, *(b.column(c).take(pa.array(open_)).to_pylist() for c in ("given1", "family1", "kin1", "given2", "family2", "kin2")))
+            for i, g1, f1, k1, g2, f2, k2 in rows:
+                total = plain[i] + people.names_points(*people.align(g1.split(), f1.split(), g2.split(), f2.split()))
+                if total + most < least and not more:
+                    continue
+                total += people.kin_points(k1, k2, f2) if k1 and k2 else 0.0
+                points[i] = total + (weighted_dice((g1, f1, k1), (g2, f2, k2)) if dice else 0.0)
+            good = pa.array(np.arange(b.num_rows) if more else np.flatnonzero(points >= least))
+            differ = pa.array(b.column("spelled1").to_numpy() != b.column("spelled2").to_numpy())
+            columns = [b.column("record_id1"), b.column("record_id2"), pa.array(points), differ, *(b.column(c) for c in more)]
+            yield pa.RecordBatch.from_arrays([c.take(good) for c in columns], ["record_id_1", "record_id_2", "points", "respelled", *more])
+
+    kinds = "".join(f", {c} {pairs.schema[c].dataType.simpleString()}" for c in more)
+    return met.mapInArrow(rate, "record_id_1 string, record_id_2 string, points double, respelled boolean" + kinds)
+
+
+MOST_DICE = 0.6
+
+
+def weighted_dice(x: tuple[str, str, str], y: tuple[str, str, str]) -> float:
+    """Points, ``MOST_DICE`` at most, from the Dice coefficients of the bit vectors of given name, family name and kin, around their usual middle."""
     total = weight = 0.0
-    for i, w in ((0, 1.0), (1, 1.0), (9, 0.5)):
-        if x[i] and y[i]:
-            a = b = 0
-            for word in x[i].replace(";", " ").split():
-                a |= gram_bits(sound(word))
-            for word in y[i].replace(";", " ").split():
-                b |= gram_bits(sound(word))
-            total += w * 2 * (a & b).bit_count() / max(1, a.bit_count() + b.bit_count())
+    for p, q, w in zip(x, y, (1.0, 1.0, 0.5)):
+        if p and q:
+            if p == q:
+                total += w
+            else:
+                a = b = 0
+                for word in p.replace(";", " ").split():
+                    a |= people.bits(word)
+                for word in q.replace(";", " ").split():
+                    b |= people.bits(word)
+                total += w * 2 * (a & b).bit_count() / max(1, a.bit_count() + b.bit_count())
             weight += w
     return 1.5 * (total / weight - 0.6) if weight else 0.0
 
 
-def match_sources(facts: DataFrame, middle: float = 5.5, least: float = 0.5) -> DataFrame:
-    """``record_id_1`` (side 0), ``record_id_2`` (side 1), ``confidence``."""
-    need = middle + math.log(least / (1 - least)) / 0.9 - 0.6  # weighted_dice adds 0.6 at most
-    found = scored(facts, candidates(facts, hamming_keys, across=True, need=need), dice=True)
-    return found.select("record_id_1", "record_id_2", (1 / (1 + F.exp(-0.9 * (F.col("points") - middle)))).alias("confidence")).where(F.col("confidence") >= least)
+def calibrate(points: np.ndarray, same: np.ndarray, rounds: int = 25) -> tuple[float, float]:
+    """Middle and slope of the logistic curve that gives the share of ``same`` among pairs of these points.
+
+    Fitted by Newton's steps with a weak prior on the built-in curve, which stands where there are no labels.
+    """
+    x = np.clip(points, -20, 25)
+    w = np.array([-SLOPE * MIDDLE, SLOPE])
+    prior, hold = w.copy(), np.array([1.0, 10.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(w[0] + w[1] * x)))
+        r = p * (1 - p)
+        gradient = np.array([(same - p).sum(), ((same - p) * x).sum()]) - hold * (w - prior)
+        curve = np.array([[r.sum(), (r * x).sum()], [(r * x).sum(), (r * x * x).sum()]]) + np.diag(hold)
+        w = w + np.linalg.solve(curve, gradient)
+    return -w[0] / w[1], w[1]
+
+
+def match_sources(facts: DataFrame, labels: DataFrame | None = None, middle: float = MIDDLE, most: int = LABELS) -> DataFrame:
+    """``record_id_1`` (side 0), ``record_id_2`` (side 1), ``points``, ``confidence`` of the pairs of ``middle`` points or more.
+
+    ``labels``: ``id1, id2, same`` (0 or 1), pairs that people decided on. At most ``most`` of them, chosen by a
+    hash of their ids, fit the confidence; without labels the built-in curve gives it.
+    """
+    found = scored(facts, candidates(facts, across=True, need=middle - MOST_DICE), middle, dice=True)
+    at, slope = middle, SLOPE
+    if labels is not None:
+        sample = labels.orderBy(F.xxhash64("id1", "id2")).limit(most)
+        fit = scored(facts, sample, middle, dice=True).select("points", "same").toPandas()
+        at, slope = calibrate(fit["points"].to_numpy(float), fit["same"].to_numpy(float))
+    return found.select("record_id_1", "record_id_2", "points", (1 / (1 + F.exp(-slope * (F.col("points") - at)))).alias("confidence"))
 
 
-def link_variants(facts: DataFrame, middle: float = 5.5) -> DataFrame:
+def link_variants(facts: DataFrame, middle: float = MIDDLE) -> DataFrame:
     """``record_id_1 < record_id_2`` of one person inside a side."""
-    found = scored(facts, candidates(facts, delete_keys, across=False, need=middle), dice=False).where(F.col("points") >= middle)
+    found = scored(facts, candidates(facts, across=False, need=middle), middle, dice=False)
     return found.select(F.least("record_id_1", "record_id_2").alias("record_id_1"), F.greatest("record_id_1", "record_id_2").alias("record_id_2"), "points", "respelled")

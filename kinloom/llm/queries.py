@@ -36,11 +36,11 @@ _PERSON = ("given_name", "family_name", "sex", "birth_date_raw", "origin_place",
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both registries as comparable facts, written once: candidates and scores read them again."""
-    records = _once(spark, sf_dir, "registry_a", *_PERSON).withColumn("side", F.lit(0)).unionByName(_once(spark, sf_dir, "registry_b", *_PERSON).withColumn("side", F.lit(1)))
+    a, b = (table(spark, sf_dir, f"registry_{x}").select("record_id", *_PERSON).where("record_id is not null").withColumn("side", F.lit(i)) for i, x in enumerate("ab"))
     forms = people.Forms(table(spark, sf_dir, "given_forms").select("short_form", "given_name").collect())
     places = people.PlaceKeys(canonical.places(table(spark, sf_dir, "gazetteer").collect()))
     nations = people.PlaceKeys(canonical.nationalities(table(spark, sf_dir, "nationalities").collect()))
-    return store(people.features(records, table(spark, sf_dir, "source_desks"), forms, places, nations))
+    return store(people.features(a.unionByName(b), table(spark, sf_dir, "source_desks"), forms, places, nations))
 
 
 def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,10 @@ def words(text: str | None) -> list[str]:
     """The folded words of a text, in order; none for null."""
     if not text:
         return []
+    if text.isascii():  # plain letters fold to themselves
+        plain = text.lower().split()
+        if all(map(str.isalpha, plain)):
+            return plain
     return [w for x in _WORD.findall(strip_marks(text)) if (w := fold_word(x))]
 
 
