@@ -68,6 +68,7 @@ _TIME = (
 )
 _JOIN = r"(?:t|\s+|,\s+|\s+at\s+|\s+a\s+|,?\s+um\s+)"
 _PARSERS = [re.compile(rf"(?:{f})(?:{_JOIN}{_TIME})?") for f in _DAY_FORMS]
+_WORDED = [rx for rx, f in zip(_PARSERS, _DAY_FORMS) if f.startswith(_NAME)]
 _LEAD = re.compile(r"^(?:born(?: on)?|b\.|dob:?|d\.o\.b\.:?|geb\.|ne\(?e?\)? le|le|am|on)\s+")
 _DOW = re.compile(r"^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+")
 _UNIT = {"s": 1, "ms": 10**3, "us": 10**6, "ns": 10**9}
@@ -152,13 +153,17 @@ def candidates(raw: str | None, desk_zone: str | None) -> tuple[str, list[tuple[
     """Status and all valid readings ``(label, normal form)`` of one value."""
     if raw is None:
         return "empty", []
-    text = _plain(unicodedata.normalize("NFKC", raw)).lower()
-    text = "".join(str(unicodedata.digit(c)) if c.isdigit() and not c.isascii() else c for c in text if unicodedata.category(c) != "Cf")
-    text = re.sub(r"\s+", " ", text).strip(" .;,")
+    if raw.isascii():
+        text = raw.lower()
+    else:
+        text = _plain(unicodedata.normalize("NFKC", raw)).lower()
+        text = "".join(str(unicodedata.digit(c)) if c.isdigit() and not c.isascii() else c for c in text if unicodedata.category(c) != "Cf")
+    text = " ".join(text.split()).strip(" .;,")
     if not text:
         return "empty", []
-    for _ in range(3):
-        text = _DOW.sub("", _LEAD.sub("", text))
+    if not text[0].isdigit():
+        for _ in range(3):
+            text = _DOW.sub("", _LEAD.sub("", text))
     if text.isdigit() and len(text) > 8:
         out = []
         for label, unit in _UNIT.items():
@@ -168,7 +173,7 @@ def candidates(raw: str | None, desk_zone: str | None) -> tuple[str, list[tuple[
         # a number this long in a finer unit stays within days of 1970; only readings after 1972 count unless none is
         late = [x for x in out if x[1] > 63_072_000] or out
         return ("ok" if late else "invalid"), [(label, _utc(m)) for label, _, m in late]
-    for rx in _PARSERS:
+    for rx in _PARSERS if text[:1].isdigit() else _WORDED:
         m = rx.fullmatch(text)
         if m:
             break
