@@ -88,7 +88,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_scores(spark, sf_dir).where("is_spam").select("doc_id").distinct()
+    return p8_scores(spark, sf_dir).where("is_spam").select("doc_id")
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p4_found": p4_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found}
