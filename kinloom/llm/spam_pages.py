@@ -9,7 +9,7 @@ lie in dense segments or in segments stitched from such phrases.
 
 Hosts are counted exactly: of the other pages only the phrases that enough dense hosts use are counted.
 Phrases go back to the pages as a bit field of fixed size; a second pass over the texts looks words up in
-it, and only pages with a hit are read segment by segment again.
+it, and only pages with a stuffing phrase are read segment by segment again.
 
 Defined results: null and blank texts score 0 and are not flagged; pages without a host count as one
 host together; of a repeated page id the most stuffed row counts.
@@ -230,9 +230,12 @@ def score_pages(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bits = _Numbers(), _bits(field.value)
         for b in batches:
-            stitched, spam = [], []
-            for t in b.column("text").to_pylist():
-                parts = evidence(t)
+            stitched, spam, rows = [], [], []
+            for i, x in enumerate(b.column("phrases").to_pylist()):
+                if not bits[np.frombuffer(x, np.int64) % FIELD_BITS].any():
+                    continue
+                rows.append(i)
+                parts = evidence(b.column("text")[i].as_py())
                 got = shingles([w for _, ws, _ in parts for w in ws], known)
                 hits = np.zeros(sum(len(ws) for _, ws, _ in parts) + 1)
                 hits[1 : len(got) + 1] = bits[got % FIELD_BITS]
@@ -249,9 +252,9 @@ def score_pages(
                     at += n
                 stitched.append(plain / total)
                 spam.append(extra / total)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(stitched, pa.float64()), pa.array(spam, pa.float64())], ["id", "phrase_share", "extra"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows, pa.int64())), pa.array(stitched, pa.float64()), pa.array(spam, pa.float64())], ["id", "phrase_share", "extra"])
 
-    phrased = touched.select("id", "text").mapInArrow(score, f"id {kind}, phrase_share double, extra double").groupBy("id").agg(F.max("phrase_share").alias("phrase_share"), F.max("extra").alias("extra"))
+    phrased = touched.select("id", "text", "phrases").mapInArrow(score, f"id {kind}, phrase_share double, extra double").groupBy("id").agg(F.max("phrase_share").alias("phrase_share"), F.max("extra").alias("extra"))
     listed = seen.groupBy("id").agg(F.max("list_share").alias("list_share"))
     both = listed.join(phrased, listed["id"].eqNullSafe(phrased["id"]), "left").select(listed["id"], "list_share", F.coalesce("phrase_share", F.lit(0.0)).alias("phrase_share"), F.least(F.col("list_share") + F.coalesce("extra", F.lit(0.0)), F.lit(1.0)).alias("spam_share"))
     return both.select(F.col("id").alias(page_id), "list_share", "phrase_share", "spam_share", (F.col("spam_share") > share).alias("is_spam"))
