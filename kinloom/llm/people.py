@@ -168,12 +168,13 @@ def features(records: DataFrame, desks: DataFrame, forms: Forms, places: PlaceKe
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms, places, nations, zones = lists.value
-        place, nation, name = _Memo(places.find), _Memo(nations.find), _Memo(lambda text: _name(text, forms))
+        # kept beside the lists, so the next task of this worker finds them filled
+        place, nation, name = _kept(places, places.find), _kept(nations, nations.find), _kept(forms, lambda text: _name(text, forms))
         for b in batches:
             n = b.num_rows
             col = {c: b.column(c).to_pylist() for c in b.schema.names if c not in ("id", "spelled", "record_id")}
             given, family = [name[g] for g in col["given_name"]], [name[f] for f in col["family_name"]]
-            kin = [[x for k in text.split(_SEP) if (x := _name(k, forms))[0]] if text else [] for text in col["kin"]]
+            kin = [[x for k in text.split(_SEP) if (x := name[k])[0]] if text else [] for text in col["kin"]]
             sig, where = [], []
             for born, org, year, sex, o, s, t, k in zip(col["birth_date_raw"], col["source_org"], col["year"], col["sex"], col["origin_place"], col["last_seen_place"], col["nationality"], kin):
                 entries = place[o], place[s], nation[t]
@@ -209,6 +210,12 @@ class _Memo(dict):
         return out
 
 
+def _kept(lists, make) -> _Memo:
+    if not hasattr(lists, "memo"):
+        lists.memo = _Memo(make)
+    return lists.memo
+
+
 def _name(text: str | None, forms: Forms) -> tuple[str, list[int]]:
     """Folded words of a name and the numbers of their sounds."""
     ws = [forms.full(w) for w in name_words(text)]
