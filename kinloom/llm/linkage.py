@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.llm import people, tokens
-from kinloom.session import cut
+from kinloom.session import store
 
 HOT = 20_000
 STRETCH = 5 * 365
@@ -122,7 +122,7 @@ def batch_keys(ids: np.ndarray, sig: np.ndarray, given, family, kin, words: toke
 def keyed(facts: DataFrame, resolved: DataFrame, across: bool) -> DataFrame:
     """``key, id, sig``: the keys of every record, from its words and their heads."""
     spark = facts.sparkSession
-    resolved = cut(resolved)
+    resolved = store(resolved)
     if resolved.count() <= tokens.MAX_BROADCAST:
         rows = resolved.toPandas()
         held = spark.sparkContext.broadcast(tokens.Lookup(*(rows[c].to_numpy(np.int64) for c in tokens.RESOLVED)))

@@ -44,8 +44,22 @@ def _span(y: int, m: int | None = None, slack: int = 0) -> tuple[int, int]:
     return _ord(y - slack, 1, 1), _ord(y + slack, 12, 31)
 
 
+_NUMERIC = re.compile(r"(\d{1,2})([/.-])(\d{1,2})\2(\d{4})")
+
+
+def _day(y: int, m: int, d: int) -> int | None:
+    try:
+        return date(y, m, d).toordinal() - _DAY0
+    except ValueError:
+        return None
+
+
 def birth_window(raw: str | None, zone: str | None, order: str | None, this_year: int) -> tuple[int, int, int] | None:
-    """First and last day (since 1970) and precision; none where nothing is stated."""
+    """First and last day (since 1970) and precision; none where nothing is stated.
+
+    Days alone in the common forms are read here, everything else by the readings of ``timestamps``; a moment
+    may be a day off in another zone.
+    """
     if not raw:
         return None
     if len(raw) == 10 and raw[4] == "-" == raw[7] and raw.isascii():
@@ -54,6 +68,16 @@ def birth_window(raw: str | None, zone: str | None, order: str | None, this_year
             return day, day, EXACT
         except ValueError:
             pass
+    elif m := _NUMERIC.fullmatch(raw):
+        p, q, y = int(m[1]), int(m[3]), int(m[4])
+        dmy, mdy = _day(y, q, p), _day(y, p, q)
+        if dmy is not None and mdy is not None and dmy != mdy:
+            if order is None or order not in ("dmy", "mdy"):
+                return min(dmy, mdy), max(dmy, mdy), YEAR if abs(dmy - mdy) > 3 else EXACT
+            dmy, mdy = (dmy, None) if order == "dmy" else (None, mdy)
+        day = mdy if dmy is None else dmy
+        if day is not None:
+            return day, day, EXACT
     return _window(raw, zone, order, this_year)
 
 
@@ -145,14 +169,16 @@ DAY_0 = 1850
 _FIRST = _DAY0 - date(DAY_0, 1, 1).toordinal()
 
 
-def signature(window: tuple | None, sex: str, kin: bool, entries: tuple[int, int, int]) -> int:
-    """What is compared before names, in one number; entries of long lists are folded to 1,023 values."""
-    out = (sex == "M") << SEX | (sex == "F") << SEX + 1 | kin << KIN
-    if window and 0 <= window[0] + _FIRST < 1 << 17:
-        out |= 1 << BORN | window[0] + _FIRST | min(window[1] - window[0], (1 << 13) - 1) << SPAN
-    for at, e in zip((ORIGIN, SEEN, NATION), entries):
-        out |= (e % 1023 + 1 if e >= 0 else 0) << at
-    return out - (1 << 64) if out >> 63 else out
+def signatures(windows: list, sexes: list[str], kin: list[bool], entries: np.ndarray) -> np.ndarray:
+    """What is compared before names, one number a record; entries (rows of three) of long lists are folded to 1,023 values."""
+    lo, hi = (np.array([w[k] if w else -(1 << 40) for w in windows], np.int64) for k in (0, 1))
+    day = lo + _FIRST
+    out = np.where((day >= 0) & (day < 1 << 17), 1 << BORN | day | np.minimum(hi - lo, (1 << 13) - 1) << SPAN, 0)
+    out |= np.array([{"M": 1, "F": 2}.get((x or "").strip().upper()[:1], 0) for x in sexes], np.int64) << SEX
+    out |= np.array(kin, np.int64) << KIN
+    for at, e in zip((ORIGIN, SEEN, NATION), entries.T):
+        out |= np.where(e >= 0, e % 1023 + 1, 0) << at
+    return out
 
 
 def features(records: DataFrame, desks: DataFrame, forms: Forms, places: PlaceKeys, nations: PlaceKeys, most: int = 100_000) -> DataFrame:
@@ -171,15 +197,13 @@ def features(records: DataFrame, desks: DataFrame, forms: Forms, places: PlaceKe
         # kept beside the lists, so the next task of this worker finds them filled
         place, nation, name = _kept(places, places.find), _kept(nations, nations.find), _kept(forms, lambda text: _name(text, forms))
         for b in batches:
-            n = b.num_rows
             col = {c: b.column(c).to_pylist() for c in b.schema.names if c not in ("id", "spelled", "record_id")}
             given, family = [name[g] for g in col["given_name"]], [name[f] for f in col["family_name"]]
             kin = [[x for k in text.split(_SEP) if (x := name[k])[0]] if text else [] for text in col["kin"]]
-            sig, where = [], []
-            for born, org, year, sex, o, s, t, k in zip(col["birth_date_raw"], col["source_org"], col["year"], col["sex"], col["origin_place"], col["last_seen_place"], col["nationality"], kin):
-                entries = place[o], place[s], nation[t]
-                sig.append(signature(birth_window(born, *zones.get(org, (None, None)), year), (sex or "").strip().upper()[:1], bool(k), entries))
-                where.append((entries[0] + 1) << 42 | (entries[1] + 1) << 21 | entries[2] + 1)
+            windows = [birth_window(born, *zones.get(org, (None, None)), year) for born, org, year in zip(col["birth_date_raw"], col["source_org"], col["year"])]
+            entries = np.array([[place[x] for x in col["origin_place"]], [place[x] for x in col["last_seen_place"]], [nation[x] for x in col["nationality"]]], np.int64).T
+            sig = signatures(windows, col["sex"], [bool(k) for k in kin], entries)
+            where = (entries[:, 0] + 1) << 42 | (entries[:, 1] + 1) << 21 | entries[:, 2] + 1
             flat = [_lists([x[1] for x in given]), _lists([x[1] for x in family]), _lists([[x[1][0] for x in k if x[1]] for k in kin])]
             yield pa.RecordBatch.from_arrays(
                 [b.column("record_id"), b.column("id"), *(pa.array(x, pa.string()) for x in ([x[0] for x in given], [x[0] for x in family], [";".join(x[0] for x in k) for k in kin])),
