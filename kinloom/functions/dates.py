@@ -12,44 +12,41 @@ _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _NAMES = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
 
 
-def _date(y, m, d) -> Column:
-    return F.try_to_date(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-
-
-def _year(y, slack: int = 0) -> tuple[Column, Column]:
-    n = y.cast("int")
-    ok = (n - slack >= 1) & (n + slack <= 9999)
-    return F.when(ok, F.make_date(F.when(ok, n - slack), F.lit(1), F.lit(1))), F.when(ok, F.make_date(F.when(ok, n + slack), F.lit(12), F.lit(31)))
-
-
-def date_window(raw: Column) -> Column:
-    """``struct<lo, hi, precision>``; null for blanks and anything unread."""
-    t = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
-    g = lambda p, i: F.regexp_extract(t, p, i)
-    window = lambda lo, hi, p: F.when(lo.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(p).alias("precision")))
-    approx, age = r"^(?:approx\.?|c\.|circa|ca\.?)\s*(\d{4})$", r"^age\s+(?:approx\.?\s+)?(\d{1,3})$"
-    iso, num = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$"
-    long, my, y4 = rf"^({_NAMES})\s+(\d{{1,2}}),?\s+(\d{{4}})$", rf"^({_NAMES})\s+(\d{{4}})$", r"^(\d{4})$"
-    month = lambda p: F.array_position(F.array(*map(F.lit, _MONTHS)), F.substring(g(p, 1), 1, 3)).cast("string")
-    whole = _date(g(iso, 1), g(iso, 2), g(iso, 3))
-    dm, md = _date(g(num, 3), g(num, 2), g(num, 1)), _date(g(num, 3), g(num, 1), g(num, 2))
-    named = _date(g(long, 3), month(long), g(long, 2))
-    first = _date(g(my, 2), month(my), F.lit("1"))
-    aged = F.lit(THIS_YEAR) - F.when(t.rlike(age), g(age, 1).cast("int"))
-    return (
-        F.when(t.rlike(approx), window(*_year(F.when(t.rlike(approx), g(approx, 1)), 1), "approx-year"))
-        .when(t.rlike(age), window(*_year(aged, 1), "approx-year"))
-        .when(t.rlike(iso), F.when(whole.isNotNull(), window(whole, whole, "day")).otherwise(window(*_year(F.when(t.rlike(iso), g(iso, 1))), "year")))
-        .when(
-            t.rlike(num),
-            F.when(dm.isNotNull() & md.isNotNull(), window(F.least(dm, md), F.greatest(dm, md), "month"))
-            .when(dm.isNotNull() | md.isNotNull(), window(F.coalesce(dm, md), F.coalesce(dm, md), "day"))
-            .otherwise(window(*_year(F.when(t.rlike(num), g(num, 3))), "year")),
-        )
-        .when(t.rlike(long), window(named, named, "day"))
-        .when(t.rlike(my), window(first, F.last_day(first), "month"))
-        .when(t.rlike(y4), window(*_year(F.when(t.rlike(y4), g(y4, 1))), "year"))
-    )
+_APPROX, _AGE = r"^(?:approx\.?|c\.?|circa|ca\.?)\s*(\d{4})$", r"^age\s*(?:approx\.?)?\s*(\d{1,3})$"
+_ISO, _NUMBERS = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$"
+_LONG, _MONTH_YEAR, _YEAR = rf"^({_NAMES})\s+(\d{{1,2}}),\s*(\d{{4}})$", rf"^({_NAMES})\s+(\d{{4}})$", r"^(\d{4})$"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def window_sql(column: str) -> str:
+    """The ladder of readings as one SQL expression over ``column``; the first pattern that fits decides."""
+    group = lambda p, i: f"regexp_extract(t, r'{p}', {i})"
+    day = lambda y, m, d: f"try_to_date(concat_ws('-', lpad({y}, 4, '0'), lpad({m}, 2, '0'), lpad({d}, 2, '0')), 'yyyy-MM-dd')"
+    month = lambda p: f"cast(array_position(array({', '.join(repr(m) for m in _MONTHS)}), substring({group(p, 1)}, 1, 3)) as string)"
+    window = lambda lo, hi, p: f"if({lo} is not null and year({lo}) >= 1, named_struct('lo', {lo}, 'hi', {hi}, 'precision', '{p}'), null)"
+
+    def years(y: str, slack: int, precision: str) -> str:
+        return _let(y, "y", f"if(y - {slack} >= 1 and y + {slack} <= 9999, named_struct('lo', make_date(y - {slack}, 1, 1), 'hi', make_date(y + {slack}, 12, 31), 'precision', '{precision}'), null)")
+
+    year = lambda p, i: f"try_cast({group(p, i)} as int)"
+    whole, named, first = day(group(_ISO, 1), group(_ISO, 2), group(_ISO, 3)), day(group(_LONG, 3), month(_LONG), group(_LONG, 2)), day(group(_MONTH_YEAR, 2), month(_MONTH_YEAR), "'1'")
+    readings = f"filter(array({day(group(_NUMBERS, 3), group(_NUMBERS, 2), group(_NUMBERS, 1))}, {day(group(_NUMBERS, 3), group(_NUMBERS, 1), group(_NUMBERS, 2))}), z -> z is not null)"
+    numbers = _let(readings, "r", f"case size(r) when 2 then {window('array_min(r)', 'array_max(r)', 'month')} when 1 then {window('r[0]', 'r[0]', 'day')} else {years(year(_NUMBERS, 3), 0, 'year')} end")
+    ladder = [
+        (_APPROX, years(year(_APPROX, 1), 1, "approx-year")), (_AGE, years(f"{THIS_YEAR} - {year(_AGE, 1)}", 1, "approx-year")),
+        (_ISO, _let(whole, "d", f"coalesce({window('d', 'd', 'day')}, {years(year(_ISO, 1), 0, 'year')})")), (_NUMBERS, numbers),
+        (_LONG, _let(named, "d", window("d", "d", "day"))), (_MONTH_YEAR, _let(first, "d", window("d", "last_day(d)", "month"))), (_YEAR, years(year(_YEAR, 1), 0, "year")),
+    ]
+    return _let(f"lower(trim(coalesce({column}, '')))", "t", "case " + " ".join(f"when t rlike r'{p}' then {w}" for p, w in ladder) + " end")
+
+
+def date_window(column: str) -> Column:
+    """``struct<lo, hi, precision>`` of a column by name; null for blanks and anything unread."""
+    return F.expr(window_sql(column))
 
 
 def midpoint(w: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinloom.functions.dates import window_sql
+
 
 def clean_name(c) -> Column:
     """Letters a-z alone, lower case."""
@@ -108,18 +111,18 @@ def metaphone(word: str) -> str:
             else:
                 code = "K"
         elif c == "D":
-            code = "J" if n == "G" and at(i + 2) != "" and at(i + 2) in "EIY" else "T"
+            code, step = ("J", 2) if n == "G" and at(i + 2) != "" and at(i + 2) in "EIY" else ("T", 1)
         elif c == "G":
-            if n == "H" and not (i + 2 < len(w) and vowel(at(i + 2))):
-                code = "" if i + 2 < len(w) else "K"
-            elif n == "N" and (i + 2 == len(w) or w[i + 2 :] == "ED"):
+            if n == "H":
+                code = "K" if i + 2 == len(w) or vowel(at(i + 2)) else ""
+            elif n == "N":
                 code = ""
-            elif n and n in "IEY" and at(i - 1) != "G":
+            elif n and n in "IEY":
                 code = "J"
             else:
                 code = "K"
         elif c == "H":
-            code = "H" if vowel(n) and not (at(i - 1) and at(i - 1) in "CSPTG") else ""
+            code = "" if (vowel(at(i - 1)) and not vowel(n)) or (at(i - 1) and at(i - 1) in "CSPT") else "H"
         elif c == "K":
             code = "" if at(i - 1) == "C" else "K"
         elif c == "P":
@@ -254,6 +257,52 @@ def place_score(a: str, b: str) -> float:
     return max(best, phonetic_agreement(a.replace(" ", ""), b.replace(" ", ""))[1])
 
 
+def portable_key(text: str) -> str:
+    """Marks stripped, lower case, letters, digits and single spaces kept."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c)).lower()
+    return " ".join(re.sub("[^a-z0-9 ]", "", " ".join(plain.split())).split())
+
+
+@lru_cache(200_000)
+def portable_jaro_winkler(a: str, b: str) -> float:
+    """The variant of the second scorer: half transpositions count, the prefix always does."""
+    if not a or not b:
+        return 0.0
+    reach = max(max(len(a), len(b)) // 2 - 1, 0)
+    taken, mine = set(), []
+    for i, x in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in taken and b[j] == x), None)
+        if j is not None:
+            taken.add(j)
+            mine.append(x)
+    if not mine:
+        return 0.0
+    m, apart = len(mine), sum(x != b[j] for x, j in zip(mine, sorted(taken))) / 2
+    jaro = (m / len(a) + m / len(b) + (m - apart) / m) / 3
+    prefix = next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
+    return jaro + prefix * 0.1 * (1 - jaro)
+
+
+@lru_cache(200_000)
+def portable_name(a: str, b: str) -> tuple[float, bool]:
+    """``name_score`` of the second scorer: one phonetic code."""
+    x, y = portable_key(a), portable_key(b)
+    if not x or not y:
+        return 0.0, False
+    if x == y:
+        return 100.0, False
+    edit, code = 60 * portable_jaro_winkler(x, y) + 0.4 * indel_ratio(x, y), metaphone(x)
+    coded = bool(code) and code == metaphone(y)
+    return (max(edit, 90.0) if coded else edit), coded
+
+
+def portable_place(a: str, b: str) -> float:
+    """Fuzzy part of a place comparison of the second scorer."""
+    best = max(token_sort_ratio(a, b), 100 * portable_jaro_winkler(a, b))
+    code = metaphone(a.replace(" ", ""))
+    return max(best, 90.0) if code and code == metaphone(b.replace(" ", "")) else best
+
+
 def _pairwise(fn):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([fn(x or "", y or "") for x, y in zip(a, b)], dtype=float)
@@ -277,14 +326,25 @@ token_sort_udf, place_udf = _pairwise(token_sort_ratio), _pairwise(place_score)
 metaphone_udf, nysiis_udf, soundex_udf = _each(metaphone), _each(nysiis), _each(soundex)
 
 
-def _name_pair(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([name_score(x or "", y or "") for x, y in zip(a, b)], columns=["score", "coded"])
+_SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("coded", T.BooleanType())])
+
+
+def _scored(fn):
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fn(x or "", y or "") for x, y in zip(a, b)], columns=["score", "coded"])
+
+    return F.pandas_udf(run, _SCORED)
 
 
-name_score_udf = F.pandas_udf(_name_pair, T.StructType([T.StructField("score", T.DoubleType()), T.StructField("coded", T.BooleanType())]))
+name_score_udf, portable_name_udf = _scored(name_score), _scored(portable_name)
+portable_place_udf, portable_jaro_winkler_udf, portable_key_udf = _pairwise(portable_place), _pairwise(portable_jaro_winkler), _each(portable_key)
 
 
 def register(spark) -> None:
-    """SQL names of the functions."""
-    for name, udf in {"jaro_winkler": jaro_winkler_udf, "indel_ratio": indel_udf, "token_set_ratio": token_set_udf, "metaphone": metaphone_udf, "nysiis": nysiis_udf, "name_score": name_score_udf}.items():
+    """SQL names of the functions: similarities, codes, ``parse_date_window`` and ``vector_cosine``."""
+    named = {"jaro_winkler": jaro_winkler_udf, "indel_ratio": indel_udf, "token_set_ratio": token_set_udf, "token_sort_ratio": token_sort_udf, "metaphone": metaphone_udf, "nysiis": nysiis_udf, "name_score": name_score_udf, "portable_name_score": portable_name_udf}
+    for name, udf in named.items():
         spark.udf.register(name, udf)
+    spark.sql(f"create or replace temporary function parse_date_window(raw string) returns struct<lo: date, hi: date, precision: string> return {window_sql('raw')}")
+    dot = "aggregate(zip_with({0}, {1}, (x, y) -> cast(x as double) * cast(y as double)), cast(0 as double), (s, x) -> s + x)"
+    spark.sql(f"create or replace temporary function vector_cosine(a array<float>, b array<float>) returns double return coalesce(try_divide({dot.format('a', 'b')}, sqrt({dot.format('a', 'a')}) * sqrt({dot.format('b', 'b')})), 0)")

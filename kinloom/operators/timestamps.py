@@ -2,7 +2,9 @@
 
 ``candidates`` lists every valid reading of a value (a *label* and its normal form). Values with
 one reading teach the mixture of their source, values with several take the posterior of that
-mixture; what stays open is marked, never guessed.
+mixture. A declared order is a prior (``trust``) that the values of a source can outweigh: against it
+must stand as many values as make the posterior reach ``sure``; between the two a value stays open.
+What stays open is marked, never guessed.
 
 Defined results: null or blank values have status ``empty``; values that state nothing as exact as
 a day ``no_day``; dates or clock times that do not exist ``invalid``; wall-clock times a zone skipped
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinloom.session import store
+
 # Month names by language.
 _MONTHS = [
     "january janvier januar enero",
@@ -251,7 +255,7 @@ def _em(counts: dict[tuple[str, ...], int], declared: str | None, trust: float,
     return theta
 
 
-def fit_mixtures(readings: DataFrame, trust: float = 0.999, rounds: int = 30) -> DataFrame:
+def fit_mixtures(readings: DataFrame, trust: float = 0.98, rounds: int = 30) -> DataFrame:
     """``(source, label, weight)`` from rows ``(source, declared, labels)``.
 
     Rows are counted by label set before they meet, so a source costs a few rows however large it is.
@@ -276,13 +280,13 @@ def normalize_timestamps(
     value: str,
     source: str,
     sure: float = 0.95,
-    trust: float = 0.999,
+    trust: float = 0.98,
 ) -> DataFrame:
     """One row a key: ``key, status, normal_form, label, posterior, alternatives``.
 
     ``sources`` has ``source, zone, order`` (order: dmy, mdy or null); a source outside it settles
-    nothing by itself, so its open values stay ``ambiguous`` with their posterior. Repeated keys are
-    read once. Rows with a null key are dropped. Columns of other names play no part.
+    nothing by itself, so its open values stay ``ambiguous`` with the likeliest label and its posterior.
+    Repeated keys are read once. Rows with a null key are dropped. Columns of other names play no part.
     """
     desks = sources.select(F.col("source").alias("source"), "zone", F.col("order").alias("declared")).where("source is not null").dropDuplicates(["source"])
     base = (
@@ -291,11 +295,10 @@ def normalize_timestamps(
         .dropDuplicates(["key"])
         .join(desks, "source", "left")
     )
-    read = base.withColumn("r", parse_readings("raw", "zone")).select("key", "source", "declared", "r.*")
     # the mixture is learned from values that can be read in more than one way or show which way is meant
-    numeric = base.where(F.col("raw").rlike(r"\d{1,2}[/.-]\d{1,2}[/.-]\d{4}|^\D*\d{9,}\D*$"))
-    taught = numeric.withColumn("r", parse_readings("raw", "zone")).select("source", "declared", "r.*").where(F.size("labels") > 0)
-    weights = fit_mixtures(taught, trust).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("label", "weight"))).alias("weights"))
+    teaches = F.coalesce(F.col("raw").rlike(r"\d{1,2}[/.-]\d{1,2}[/.-]\d{4}|^\D*\d{9,}\D*$"), F.lit(False))
+    read = store(base.withColumn("r", parse_readings("raw", "zone")).select("key", "source", "declared", teaches.alias("teaches"), "r.*"))
+    weights = fit_mixtures(read.where("teaches and size(labels) > 0"), trust).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("label", "weight"))).alias("weights"))
     open_ = read.where(F.size("labels") > 1).join(weights, "source", "left")
     prior = lambda x: F.coalesce(F.try_element_at("weights", x), F.lit(1e-3)) * F.when(
         F.col("declared").isNotNull() & F.array_contains("labels", F.col("declared")) & (x != F.col("declared")), 1 - trust
@@ -313,7 +316,7 @@ def normalize_timestamps(
         "key",
         F.when(settled | alike, F.when(form != "", "ok").otherwise("dst")).otherwise("ambiguous").alias("status"),
         F.when((settled | alike) & (form != ""), form).alias("normal_form"),
-        F.when(settled | alike, F.col("best.labels")).alias("label"),
+        F.col("best.labels").alias("label"),
         "posterior",
         F.array_distinct("forms").alias("alternatives"),
     )

@@ -43,3 +43,15 @@ def test_open_orders_take_the_desk(spark):
     got = {r.key: (r.status, r.normal_form) for r in normalize_timestamps(rows.withColumn("status", F.lit("x")), desks, "id", "v", "s").collect()}
     assert got == {1: ("ok", "1990-02-01"), 2: ("ok", "1990-01-02"), 3: ("ambiguous", None), 4: ("ok", "1990-02-13"), 5: ("empty", None)}
     assert normalize_timestamps(rows.limit(0), desks, "id", "v", "s").count() == 0
+
+
+def test_many_values_outweigh_a_declared_order(spark):
+    desks = spark.createDataFrame([("m", "UTC", "mdy"), ("few", "UTC", "mdy")], "source string, zone string, order string")
+    rows = [(i, f"{13 + i % 15}/02/{1950 + i % 50}", "m") for i in range(3000)] + [(9000, "03/04/1990", "m"), (9001, "03/04/1990", "few"), (9002, "13/02/1990", "few")]
+    got = {r.key: r for r in normalize_timestamps(spark.createDataFrame(rows, "id int, v string, s string"), desks, "id", "v", "s").where("key >= 9000").collect()}
+    # under equal weights the declaration alone would give 1990-03-04 at both desks
+    assert (got[9000].status, got[9000].normal_form, got[9000].label) == ("ok", "1990-04-03", "dmy")
+    assert (got[9001].status, got[9001].normal_form) == ("ok", "1990-03-04")
+    some = [(i, f"{13 + i % 15}/02/{1950 + i % 50}", "m") for i in range(60)] + [(9000, "03/04/1990", "m")]
+    open_ = normalize_timestamps(spark.createDataFrame(some, "id int, v string, s string"), desks, "id", "v", "s").where("key = 9000").first()
+    assert open_.status == "ambiguous" and open_.normal_form is None and sorted(open_.alternatives) == ["1990-03-04", "1990-04-03"]
