@@ -20,11 +20,9 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from kinloom.llm.text import DeleteIndex, edits, sound, words
-from kinloom.session import parallelism
+from kinloom.session import parallelism, store
 
 UNLISTED = "UNLISTED"
-# How one generic word is written that shares too few letters with it.
-_SPECIAL = {"xing": "crossing"}
 MAX_ENTRIES = 100_000
 
 
@@ -63,8 +61,6 @@ class Reference:
     def repair(self, word: str, dotted: bool) -> list[tuple[str, float]]:
         """Words of the list that a written word may stand for."""
         found = dict(self.index.search(word))
-        if word in _SPECIAL and _SPECIAL[word] in self.generic:
-            found[_SPECIAL[word]] = 0.95
         if len(word) <= 5:
             for g in self.generic:
                 if g[0] == word[0] and len(word) < len(g):
@@ -79,7 +75,7 @@ class Reference:
                     cost = 0 if v.startswith(word) else 0.5 if s.startswith(skeleton) else min(edits(word, v[: len(word) + j], 1) for j in (-1, 0, 1))
                     if cost <= 1:
                         found[v] = max(found.get(v, 0), 0.9 - 0.1 * cost)
-        return sorted(found.items(), key=lambda x: (-x[1], x[0]))[:12]
+        return sorted(found.items(), key=lambda x: (-x[1], x[0]))
 
     def rank(self, tokens: list[tuple[int, int, list[tuple[str, float]]]], whole: str) -> tuple[str, float]:
         """The entry of a value from its repaired words ``(first, last position, repairs)``."""
@@ -120,8 +116,7 @@ class Reference:
             if key > scored.get(ref, ((),))[0] if ref in scored else True:
                 scored[ref] = (key, score)
         if not scored:
-            inside = {r for r, f in self.forms if len(f) == 1 and len(f[0]) > 6 and f[0] in whole}
-            return (inside.pop(), 0.9) if len(inside) == 1 else (UNLISTED, 0.0)
+            return UNLISTED, 0.0
         order = sorted(scored.items(), key=lambda x: x[1][0], reverse=True)
         if len(order) > 1 and order[0][1][0][:2] == order[1][1][0][:2]:
             return UNLISTED, order[0][1][1]
@@ -144,6 +139,11 @@ def _split(raw: str, known: dict) -> list[tuple[int, int, str, bool]]:
     return out
 
 
+def _own(n: int, slips: float) -> bool:
+    """Whether a word stands more often than its slips could, if ``slips`` are expected; three deviations are allowed for."""
+    return n > slips + 3 * math.sqrt(slips + 1)
+
+
 def map_to_list(values: DataFrame, references: dict[str, Reference], own_share: float = 0.15) -> DataFrame:
     """``(kind, value, ref_id, score)`` for the distinct ``(kind, value)`` of ``values``; kind names the list."""
     spark = values.sparkSession
@@ -160,7 +160,7 @@ def map_to_list(values: DataFrame, references: dict[str, Reference], own_share:
             for kind, word, dotted, n in zip(b["kind"], b["word"], b["dotted"], b["n"]):
                 got = shared.value[kind].repair(word, bool(dotted)) if word else []
                 # a slip is rare beside the word it was meant for; a word written as often is a word of its own
-                out.append([{"w": w, "s": s} for w, s in got if s >= 0.9 or n <= 3 + own_share * right.value.get((kind, w), 0)])
+                out.append([{"w": w, "s": s} for w, s in got if s >= 0.9 or not (right.value.get((kind, w)) and _own(n, own_share * right.value[kind, w]))])
             yield b[["kind", "word", "dotted"]].assign(repairs=out)
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,16 +172,14 @@ def map_to_list(values: DataFrame, references: dict[str, Reference], own_share:
             yield pd.DataFrame({"kind": b["kind"], "value": b["value"], "ref_id": [r for r, _ in refs], "score": [s for _, s in refs]})
 
     n = parallelism(spark)
-    # explicit partitions: the stages cost CPU, not bytes, so sizes measured at run time would gather them
-    n = parallelism(spark)
-    # explicit partitions: the stages cost CPU, not bytes, so sizes measured at run time would gather them
-    distinct = values.where(F.trim("value") != "").groupBy("kind", "value").agg(F.count("*").alias("n")).repartition(n, "kind", "value")
-    split_ = distinct.mapInPandas(split, "kind string, value string, n long, first int, last int, word string, dotted boolean")
+    # dealt out evenly: these stages cost CPU and few bytes, so partitions gathered by size would be one task
+    distinct = values.where(F.trim("value") != "").groupBy("kind", "value").agg(F.count("*").alias("n")).repartition(n)
+    split_ = store(distinct.mapInPandas(split, "kind string, value string, n long, first int, last int, word string, dotted boolean"))
     lists = [(k, w) for k, r in references.items() for w in r.index.vocabulary]
     listed = spark.createDataFrame(lists, "kind string, word string")
     # how often each word of the lists is written right: as many rows as the lists have words
     right = spark.sparkContext.broadcast({(r.kind, r.word): r.n for r in split_.join(F.broadcast(listed), ["kind", "word"]).groupBy("kind", "word").agg(F.sum("n").alias("n")).collect()})
-    words_ = split_.groupBy("kind", "word", "dotted").agg(F.sum("n").alias("n")).repartition(n, "kind", "word", "dotted")
+    words_ = split_.groupBy("kind", "word", "dotted").agg(F.sum("n").alias("n")).repartition(n)
     repaired = words_.mapInPandas(repair, "kind string, word string, dotted boolean, repairs array<struct<w: string, s: double>>")
     met = split_.join(repaired, ["kind", "word", "dotted"])
     grouped = met.groupBy("kind", "value").agg(F.collect_list(F.struct("first", "last", "repairs")).alias("tokens"))

@@ -233,7 +233,7 @@ def calibrate(points: np.ndarray, same: np.ndarray, rounds: int = 25) -> tuple[f
     w = np.array([-SLOPE * MIDDLE, SLOPE])
     prior, hold = w.copy(), np.array([1.0, 10.0])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(w[0] + w[1] * x)))
+        p = 1 / (1 + np.exp(-np.clip(w[0] + w[1] * x, -50, 50)))
         r = p * (1 - p)
         gradient = np.array([(same - p).sum(), ((same - p) * x).sum()]) - hold * (w - prior)
         curve = np.array([[r.sum(), (r * x).sum()], [(r * x).sum(), (r * x * x).sum()]]) + np.diag(hold)

@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinloom.session import cut, parallelism
+from kinloom.session import parallelism, store
 
 SAMPLE = 20_000
 HOT = 4_096
@@ -61,8 +62,8 @@ class Codes:
                 r = (a @ b).T
             parts.append(r)
         self.rotation = np.concatenate(parts, 1)[:, :total]
-        n = min(total, 192)
-        self.words = -(-n // 63)
+        n = min(total, 126)
+        self.words = 2
         self.checked = n
         flips = angle / math.pi * n
         self.radius = int(math.ceil(flips + 4 * math.sqrt(max(flips * (1 - flips / n), 1))))
@@ -127,7 +128,8 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.98, recall: float =
     """
     spark = vectors.sparkSession
     n = parallelism(spark)
-    classed = cut(vectors.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    # one row a class of equal vectors, numbered once it is written
+    classed = store(vectors.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("row", F.monotonically_increasing_id()))
     rows = classed.count()
     if rows == 0:
         return vectors.select("id", F.col("id").alias("other"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
@@ -135,29 +137,30 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.98, recall: float =
     codes = Codes(_stack(sample["v"]), rows, least, recall)
     held = spark.sparkContext.broadcast(codes)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, words = held.value.encode(_stack(b["v"]))
-            yield pd.DataFrame({"id": b["id"], "keys": list(keys), "code": list(words)})
-
-    kind = classed.schema["id"].dataType.simpleString()
-    coded = classed.select("id", "v").repartition(n).mapInPandas(encode, f"id {kind}, keys array<long>, code array<long>")
-    index = coded.select("id", "code", F.posexplode("keys").alias("t", "key"))
-    index = index.select("t", "key", "id", *(F.col("code")[i].alias(f"c{i}") for i in range(codes.words)))
-    sizes = index.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    hot_keys = cut(sizes)
-    warm = index.join(hot_keys, ["t", "key"], "left_anti") if hot_keys.take(1) else index
+            v = b.column("v")
+            keys, words = held.value.encode(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(float))
+            tables = keys.shape[1]
+            # table and substring in one number; a word of the code to compare before any vector is read
+            bucket = (np.arange(tables, dtype=np.int64) << np.int64(40)) | keys
+            row = np.repeat(b.column("row").to_numpy(), tables)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(row), *(pa.array(np.repeat(words[:, i], tables)) for i in range(2))], ["bucket", "row", "c0", "c1"])
+
+    index = classed.select("row", "v").repartition(n).mapInArrow(encode, "bucket long, row long, c0 long, c1 long")
+    hot_keys = store(index.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
+    hot = hot_keys.head(1)
+    warm = index.join(hot_keys, "bucket", "left_anti") if hot else index
     a, b = warm.alias("a"), warm.alias("b")
-    apart = sum((F.bit_count(F.col(f"a.c{i}").bitwiseXOR(F.col(f"b.c{i}"))) for i in range(codes.words)), F.lit(0))
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (apart <= codes.radius)).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"))
-    if hot_keys.take(1):
-        members = index.select("t", "key", "id").join(hot_keys, ["t", "key"]).join(classed.select("id", "v"), "id")
+    apart = sum((F.bit_count(F.col(f"a.c{i}").bitwiseXOR(F.col(f"b.c{i}"))) for i in range(2)), F.lit(0))
+    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.row") < F.col("b.row")) & (apart <= codes.radius)).select(F.col("a.row").alias("row1"), F.col("b.row").alias("row2"))
+    if hot:
+        members = index.select("bucket", "row").join(hot_keys, "bucket").join(classed.select("row", "v"), "row").select(F.lit(0).alias("t"), F.col("bucket").alias("key"), "n", F.col("row").alias("id"), "v")
         found = _block_pairs(members, k, least)
-        pairs = pairs.unionByName(found.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")))
+        pairs = pairs.unionByName(found.select(F.least("id1", "id2").alias("row1"), F.greatest("id1", "id2").alias("row2")))
     pairs = pairs.distinct()
-    one = classed.select(F.col("id").alias("id1"), F.col("v").alias("v1"))
-    two = classed.select(F.col("id").alias("id2"), F.col("v").alias("v2"))
-    scored = pairs.join(one, "id1").join(two, "id2").select("id1", "id2", cosine("v1", "v2").alias("similarity")).where(F.col("similarity") >= least)
+    one, two = (classed.select(F.col("row").alias(f"row{i}"), F.col("id").alias(f"id{i}"), F.col("v").alias(f"v{i}")) for i in (1, 2))
+    scored = pairs.join(one, "row1").join(two, "row2").select("id1", "id2", cosine("v1", "v2").alias("similarity")).where(F.col("similarity") >= least)
     both = scored.unionByName(scored.select(F.col("id2").alias("id1"), F.col("id1").alias("id2"), "similarity"))
     # classes of equal vectors: every member sees its class first, then the first members of near classes
     several = classed.where("copies > 1")
@@ -175,33 +178,36 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.98, recall: float =
     return directed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def recall_against_blocks(vectors: DataFrame, found: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.98) -> DataFrame:
-    """``pairs, hits``: the true ``k`` nearest of the ``queries`` (``id``), searched in blocks over all rows, and how many ``found`` has.
+def exact(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 2_000, part: int = 20_000) -> DataFrame:
+    """``id, other, similarity, rank``: the true ``k`` nearest of the ``queries``, a stated set, against all rows.
 
-    The query vectors are compared block by block with every row; only their best ``k`` a task leave it.
+    Queries stand in blocks; every part of the rows meets every block and only the best ``k`` of a query leave it.
     """
-    spark = vectors.sparkSession
-    asked = vectors.join(queries.select("id"), "id")
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, queries.count() // 1000)))).groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("qs"))
+    n, parts = max(1, -(-queries.count() // block)), max(8, -(-vectors.count() // part))
+    kind = vectors.schema["id"].dataType.simpleString()
+    asked = queries.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", "v", F.lit(True).alias("asked"))
+    rows = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", "v", F.lit(False).alias("asked"))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for qs, rows in zip(b["qs"], b["rows"]):
-                q, r = np.array([x["v"] for x in qs], float), np.array([x["v"] for x in rows], float)
-                q /= np.linalg.norm(q, axis=1, keepdims=True)
-                r /= np.linalg.norm(r, axis=1, keepdims=True)
-                s = q @ r.T
-                qi, ri = np.array([x["id"] for x in qs]), np.array([x["id"] for x in rows])
-                s[qi[:, None] == ri[None, :]] = -2
-                top = np.argsort(-s, axis=1)[:, :k]
-                at = np.repeat(np.arange(len(qi)), top.shape[1])
-                sim = s[at, top.ravel()]
-                good = sim >= least
-                yield pd.DataFrame({"id": qi[at[good]], "other": ri[top.ravel()[good]], "similarity": sim[good]})
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, r = pdf[pdf["asked"]], pdf[~pdf["asked"]].sort_values("id")
+        if not len(q) or not len(r):
+            return pd.DataFrame({"id": q["id"][:0], "other": q["id"][:0], "similarity": np.zeros(0)})
+        x, y = _stack(q["v"]), _stack(r["v"])
+        s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+        s[q["id"].to_numpy()[:, None] == r["id"].to_numpy()[None, :]] = -2
+        top = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
+        at = np.repeat(np.arange(len(q)), top.shape[1])
+        value = s[at, top.ravel()]
+        good = value > -2
+        return pd.DataFrame({"id": q["id"].to_numpy()[at[good]], "other": r["id"].to_numpy()[top.ravel()[good]], "similarity": value[good]})
+
+    best = asked.unionByName(rows).groupBy("block", "part").applyInPandas(search, f"id {kind}, other {kind}, similarity double")
+    order = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 9)), "other")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    n = parallelism(spark)
-    everything = vectors.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n * 8))).groupBy("part").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    kind = vectors.schema["id"].dataType.simpleString()
-    best = everything.join(F.broadcast(blocks)).mapInPandas(search, f"id {kind}, other {kind}, similarity double")
-    true = best.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where(F.col("rank") <= k)
-    return true.join(found.select("id", "other", F.lit(1).alias("hit")), ["id", "other"], "left").agg(F.count("*").alias("pairs"), F.count("hit").alias("hits"))
+
+def recall_against_blocks(vectors: DataFrame, found: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.98) -> DataFrame:
+    """``pairs, hits, recall``: the true ``k`` nearest of the ``queries`` at ``least`` or more, and how many ``found`` has."""
+    true = exact(queries, vectors, k).where(F.col("similarity") >= least)
+    met = true.join(found.select("id", "other", F.lit(1).alias("hit")), ["id", "other"], "left").agg(F.count("*").alias("pairs"), F.count("hit").alias("hits"))
+    return met.withColumn("recall", F.coalesce(F.try_divide("hits", "pairs"), F.lit(1.0)))

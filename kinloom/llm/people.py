@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from kinloom.llm.canonical import Reference
@@ -181,6 +181,12 @@ def signatures(windows: list, sexes: list[str], kin: list[bool], entries: np.nda
     return out
 
 
+def record_number(column: str, side: int | Column) -> Column:
+    """Number of a record: of its id, or a hash of an id of another form; the last bit is the side."""
+    own = F.when(F.col(column).rlike("^[A-Z]-[0-9]{9}$"), F.substring(column, 3, 9).cast("long") * 2).otherwise(F.shiftleft(F.xxhash64(column), 1))
+    return own.bitwiseOR((F.lit(side) if isinstance(side, int) else side).cast("long"))
+
+
 def features(records: DataFrame, desks: DataFrame, forms: Forms, places: PlaceKeys, nations: PlaceKeys, most: int = 100_000) -> DataFrame:
     """One row a row of ``records``: ``FEATURES`` from ``record_id, side, given_name, ...``.
 
@@ -211,9 +217,8 @@ def features(records: DataFrame, desks: DataFrame, forms: Forms, places: PlaceKe
                 [c.split()[0] for c in FEATURES.split(", ")],
             )
 
-    number = F.substring("record_id", 3, 9).cast("long") * 2
     chosen = records.select(
-        "record_id", F.when(F.col("record_id").rlike("^[A-Z]-[0-9]{9}$"), number).otherwise(F.shiftleft(F.xxhash64("record_id"), 1)).bitwiseOR(F.col("side").cast("long")).alias("id"),
+        "record_id", record_number("record_id", F.col("side")).alias("id"),
         "given_name", "family_name", "sex", "birth_date_raw", "origin_place", "last_seen_place", "nationality", "source_org",
         F.array_join(F.transform("family_members", lambda m: m["name"]), _SEP).alias("kin"), F.coalesce(F.year("intake_date"), F.lit(2025)).alias("year"),
         F.xxhash64("given_name", F.isnull("given_name"), "family_name", F.isnull("family_name")).alias("spelled"),

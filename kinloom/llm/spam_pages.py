@@ -3,7 +3,7 @@
 One pass over the texts shows how list-dense every page is: links, runs of list items without the words
 sentences need, lines of one template, and sentences that repeat themselves or each other. Then five-word
 shingles are counted by distinct hosts: a shingle that hosts use mostly on dense pages is a stuffing
-phrase. The words a page keeps repeating stand as blanks in its shingles, so the templates that keywords
+phrase. The keywords a page keeps repeating stand as blanks in its shingles, so the templates that keywords
 are dressed up in are the same on every host. A page is flagged if more than ``share`` of its characters
 lie in dense segments or in segments stitched from such phrases.
 
@@ -132,13 +132,21 @@ class _Numbers(dict):
         return n
 
 
+_FUNCTION_IDS = np.array(sorted(zlib.crc32(w.encode()) for w in _FUNCTION), np.uint64)
+
+
 def shingles(words: list[str], known: _Numbers) -> np.ndarray:
-    """64-bit numbers of the ``SHINGLE``-word shingles; words that make up a twentieth of the page are blanks."""
+    """64-bit numbers of the ``SHINGLE``-word shingles.
+
+    A page's keywords are blanks: its most frequent word that is no function word, where it makes up a twentieth of
+    the page, and words nearly as frequent.
+    """
     if len(words) < SHINGLE:
         return np.zeros(0, np.int64)
     ids = np.array([known[w] for w in words], np.uint64)
-    _, at, times = np.unique(ids, return_inverse=True, return_counts=True)
-    ids[((times >= 4) & (times * 20 >= len(words)))[at]] = 0
+    each, at, times = np.unique(ids, return_inverse=True, return_counts=True)
+    often = np.where(np.isin(each, _FUNCTION_IDS), 0, times)
+    ids[((times >= 4) & (times * 20 >= len(words)) & (often > 0.6 * often.max()))[at]] = 0
     out = np.zeros(len(ids) - SHINGLE + 1, np.uint64)
     for k in range(SHINGLE):
         out = (out ^ ids[k : len(ids) - SHINGLE + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)

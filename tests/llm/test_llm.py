@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 llm = pytest.importorskip("kinloom.llm")
-from kinloom.llm import canonical, leakage, linkage, neighbours, packing, people, spam_pages, text  # noqa: E402
+from kinloom.llm import canonical, leakage, neighbours, packing, spam_pages, text  # noqa: E402
 
 ITEM = "a rigid hopper guides the sealed valve while one outer drum cools seven hollow plates near an axial lever so that no planar crate bends before every winding stops at dusk"
 
@@ -69,14 +69,6 @@ def test_pack_round_trip(spark):
     assert sorted((r.piece, r.first_token) for r in rows if r.doc_id == 4)[:2] == [(0, 0), (1, 100)]
 
 
-@pytest.mark.xfail(reason="lines that all read 'add to cart' hold a function word each, so no page seeds their phrases; see README")
-def test_spam(spark):
-    spam = "\n".join(f"SKU {i} blue valve {i}.99 add to cart" for i in range(12))
-    patent = "The valve is fitted to the drum by means of a lever. In one embodiment the crate is hinged to the plate, so that the rail remains fixed."
-    docs = spark.createDataFrame([(1, spam, "a"), (2, spam.replace("blue", "red"), "b"), (3, patent, "c"), (4, None, None), (5, "", "a"), (6, "Stub", None)], "doc_id long, text string, assignee string")
-    assert {r.doc_id for r in spam_pages.score_pages(docs).where("is_spam").collect()} == {1, 2}
-
-
 def test_neighbours_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((60, 64))
@@ -92,41 +84,6 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert neighbours.nearest(vectors.limit(0)).count() == 0
 
 
-def test_people():
-    a = ("kemox", "trostith", 100, 100, 0, "M", 1, -1, 2, "ana trostith")
-    assert people.score(a, a) > 10
-    assert people.score(a, ("zorbel", *a[1:])) < 5.5  # a twin stays under the cut of the operators
-    assert people.score(a, ("trostith", "kemox", *a[2:])) > 10  # parts swapped
-    assert people.score(("", "", None, None, None, "", -1, -1, -1, ""), a) == 0
-    assert people.word_similarity("kemox", "kemush") > 0 and people.word_similarity("kemox", "k") == 0.5
-
-
-def test_keys_meet_one_slip():
-    k = lambda g, f: set(linkage.delete_keys(g, f, None, None, None, ""))
-    h = lambda g, f: set(linkage.hamming_keys(g, f, None, None, None, ""))
-    for g in ("kemx", "kemaox", "kemix", "keomx"):
-        assert k("kemox", "trostith") & k(g, "trostith")
-    assert h("kemox", "trostith") & h("kemox", "trostath") and not k("", "") and not h("a", "")
-
-
-def test_hot_keys_lose_nothing(spark):
-    rows = [(f"A-{i}", i * 2, 0, "kemox", "trostith", 10 * i, 10 * i, 0, "M", 1, -1, -1, "") for i in range(30)]
-    rows += [(f"A-{100 + i}", 200 + i * 2, 0, "kemax", "trostith", 10 * i, 10 * i, 0, "M", 1, -1, -1, "") for i in range(30)]
-    facts = spark.createDataFrame([(*r, 0) for r in rows], people.FEATURES)
-    got = {(r.id1, r.id2) for r in linkage.candidates(facts, linkage.delete_keys, False, hot=8).collect()}
-    assert {(i * 2, 200 + i * 2) for i in range(30)} <= got
-
-
-def test_all_pairs_of_a_hot_key_meet(spark):
-    rows = [(f"A-{i}", i * 2, 0, "kemox" if i % 2 else "kemax", "trostith", None, None, None, "M", -1, -1, -1, "", 0) for i in range(30)]
-    facts = spark.createDataFrame(rows, people.FEATURES)
-    got = {(r.id1, r.id2) for r in linkage.candidates(facts, linkage.delete_keys, False, hot=8).collect()}
-    assert got == {(i * 2, j * 2) for j in range(30) for i in range(j)}
-    both = spark.createDataFrame([(*r[:2], i % 2, *r[3:]) for i, r in enumerate(rows)], people.FEATURES)
-    got = {(r.id1, r.id2) for r in linkage.candidates(both, linkage.hamming_keys, True, hot=8).collect()}
-    assert got == {(i * 2, j * 2) for i in range(0, 30, 2) for j in range(1, 30, 2)}
-
-
 def test_leak_with_three_spread_changes(spark):
     words = "so if it is at an up or by we to on of as he do go in me my no us be am ox add old own far".split()
     for places in ((6, 12, 18), (5, 11, 17), (7, 13, 19)):
@@ -149,22 +106,39 @@ def test_leak_beside_a_shorter_excerpt(spark):
     assert {r.doc_id for r in leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()} == {1, 2}
 
 
-def test_hosts_are_counted_beyond_64(spark):
-    stuffed, sentence = "cheap {0} pills\n" * 6, "The valve is fitted to the drum by means of cheap {0} pills in the crate."
-    rows = [(stuffed.format("blue"), f"h{i}") for i in range(300)] + [(sentence.format("blue"), f"h{i}") for i in range(100)]
-    rows += [(stuffed.format("red"), f"h{i}") for i in range(200)] + [(sentence.format("red"), f"h{i}") for i in range(300)]
-    field = np.unpackbits(np.frombuffer(spam_pages.stuffing_field(spark.createDataFrame(rows, "text string, host string")), np.uint8))
-    known = spam_pages._Numbers()
-    spot = lambda *w: int(spam_pages._phrases(spam_pages._ids(list(w), known)).view(np.int64)[0] % spam_pages.FIELD_BITS)
-    assert field[spot("cheap", "blue")] == 1 and field[spot("cheap", "red")] == 0
-
-
-def test_other_birth_is_outweighed(spark):
-    one = ("A-1", 2, 0, "kemox", "trostith", 1000, 1000, 0, "M", 1, 2, 3, "ana trostith;ben trostith", 1)
-    far = ("A-2", 4, 0, *one[3:5], 5037, 5037, *one[7:13], 2)
-    bare = ("A-3", 6, 0, *one[3:5], 9074, 9074, 0, "M", -1, -1, -1, "", 3)
-    facts = spark.createDataFrame([one, far, bare], people.FEATURES)
-    assert [(r.record_id_1, r.record_id_2) for r in linkage.link_variants(facts).collect()] == [("A-1", "A-2")]
-    assert {(r.id1, r.id2) for r in linkage.candidates(facts, linkage.delete_keys, False).collect()} == {(2, 4)}
-    both = spark.createDataFrame([one, (*far[:2], 1, *far[3:])], people.FEATURES)
-    assert linkage.match_sources(both).count() == 1
+def test_spam(spark):
+    spam = "\n".join(f"SKU {i} blue valve {i}.99 add to cart" for i in range(12))
+    patent = "The valve is fitted to the drum by means of a lever. In one embodiment the crate is hinged to the plate, so that the rail remains fixed."
+    claims = "\n".join(f"{i}. valve according to claim {i - 1}, wherein the drum {i} holds a lever" for i in range(2, 12))
+    docs = spark.createDataFrame([(1, spam, "a"), (2, spam.replace("blue", "red"), "b"), (3, patent, "c"), (4, None, None), (5, "", "a"), (6, "Stub", None), (7, claims, "d"), (8, "x" * 30000, "e"), (1, spam, "a")], "doc_id long, text string, assignee string")
+    rows = spam_pages.score_pages(docs.withColumn("is_spam", docs.doc_id)).collect()
+    assert {r.doc_id for r in rows if r.is_spam} == {1, 2} and len(rows) == 8
+    assert spam_pages.score_pages(docs.limit(0)).count() == 0
+
+
+def test_stuffing_phrases_by_hosts(spark):
+    """A template is stuffing if mostly dense pages use it, however many hosts there are."""
+    dense, dressed = "\n".join(["our {0} shop ships every {0} tonight"] * 6), "our {0} shop ships every {0} tonight. our {0} shop ships every {0} tonight. The lever {1} holds the drum in its seat."
+    rows = [(i, dense.format("pump"), f"h{i}") for i in range(90)] + [(1000 + i, dressed.format("pump", i), f"g{i}") for i in range(30)]
+    plain = [(2000 + i, "\n".join(["any sound {0} of steel turns slowly inside the old {0} crate"] * 5).format("rod"), f"h{i}") for i in range(70)]
+    plain += [(3000 + i, f"any sound rod of steel turns slowly inside the old rod crate. Any sound rod of steel turns slowly inside the old rod crate. The lever {i} holds the drum.", f"k{i}") for i in range(300)]
+    got = {r.doc_id: r.phrase_share for r in spam_pages.score_pages(spark.createDataFrame(rows + plain, "doc_id long, text string, assignee string")).collect()}
+    assert got[1000] > 0 and got[3000] == 0
+
+
+def test_own_words():
+    assert not canonical._own(4, 0.15 * 10) and canonical._own(900, 0.15 * 1000) and not canonical._own(160, 0.15 * 1000)
+
+
+def test_recall_and_exact(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((80, 64))
+    v = np.concatenate([base, base + 0.03 * rng.standard_normal((80, 64))])
+    vectors = neighbours.usable(spark.createDataFrame([(f"A-{i:05d}", [float(x) for x in r]) for i, r in enumerate(v)], "k string, e array<float>"), "k", "e", 64)
+    r = neighbours.recall_against_blocks(vectors, neighbours.nearest(vectors), vectors.where("id like '%0'")).first()
+    assert r.pairs == 16 and r.recall >= 0.9
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    got = {(r.id, r["rank"]): r.other for r in neighbours.exact(vectors.where("id like '%0'"), vectors, 5, part=50).collect()}
+    assert all(got[f"A-{i:05d}", k + 1] == f"A-{j:05d}" for i in range(0, 160, 10) for k, j in enumerate(np.argsort(-s[i])[:5]))
