@@ -12,6 +12,7 @@ give ``UNLISTED``; values equal to a name are answered like any other.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -75,6 +76,10 @@ class Reference:
                     cost = 0 if v.startswith(word) else 0.5 if s.startswith(skeleton) else min(edits(word, v[: len(word) + j], 1) for j in (-1, 0, 1))
                     if cost <= 1:
                         found[v] = max(found.get(v, 0), 0.9 - 0.1 * cost)
+        if len(word) >= 8 and word not in found:  # a listed word with an ending that the list has not
+            for n in range(max(7, len(word) - 4), len(word)):
+                if word[:n] in self.index.place:
+                    found[word[:n]] = max(found.get(word[:n], 0), 0.9)
         return sorted(found.items(), key=lambda x: (-x[1], x[0]))
 
     def rank(self, tokens: list[tuple[int, int, list[tuple[str, float]]]], whole: str) -> tuple[str, float]:
@@ -124,10 +129,13 @@ class Reference:
         return order[0][0], order[0][1][1]
 
 
+_RUN_ON = re.compile(r"(?<=[a-z]{3})(?=[A-Z][a-z]{2})")  # words written without a space
+
+
 def _split(raw: str, known: dict) -> list[tuple[int, int, str, bool]]:
     """Words of a value and joins of neighbours that the list does not know, with positions and whether a full stop follows."""
     parts = []
-    for chunk in raw.replace("_", " ").split():
+    for chunk in _RUN_ON.sub(" ", raw.replace("_", " ")).split():
         for w in words(chunk):
             parts.append((w, False))
         if parts and chunk.rstrip(",;:)?*").endswith("."):
@@ -140,11 +148,11 @@ def _split(raw: str, known: dict) -> list[tuple[int, int, str, bool]]:
 
 
 def _own(n: int, slips: float) -> bool:
-    """Whether a word stands more often than its slips could, if ``slips`` are expected; three deviations are allowed for."""
-    return n > slips + 3 * math.sqrt(slips + 1)
+    """Whether a word stands more often than its slips could, if ``slips`` are expected; two deviations are allowed for."""
+    return n > slips + 2 * math.sqrt(slips + 1)
 
 
-def map_to_list(values: DataFrame, references: dict[str, Reference], own_share: float = 0.15) -> DataFrame:
+def map_to_list(values: DataFrame, references: dict[str, Reference], own_share: float = 0.1) -> DataFrame:
     """``(kind, value, ref_id, score)`` for the distinct ``(kind, value)`` of ``values``; kind names the list."""
     spark = values.sparkSession
     shared = spark.sparkContext.broadcast(references)  # bounded by MAX_ENTRIES each
