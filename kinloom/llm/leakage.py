@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -31,8 +32,8 @@ PADS = (5, 40)
 MAX_ITEM_CHARS = 50_000_000
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.*?-->", re.S)
 _BROKEN = re.compile("[Â-ß][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
-_DROP = bytes(i for i in range(256) if not (48 <= i <= 57 or 97 <= i <= 122))
-_WORD = re.compile(r"[a-z0-9]+")
+_DROP = bytes(i for i in range(128) if not (48 <= i <= 57 or 97 <= i <= 122))
+_WORD = re.compile(r"[^\W_]+")
 
 
 def _mend(m: re.Match) -> str:
@@ -50,20 +51,26 @@ def _blank(m: re.Match) -> str:
 
 
 def plain(text: str) -> str:
-    """Lower-case ASCII without markup; separators stay."""
+    """Lower-case text without markup and marks; ASCII separators stay."""
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(html.unescape(text))
     if not text.isascii():
         text = _BROKEN.sub(_mend, text).replace("ß", "ss")
-        text = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
+        text = unicodedata.normalize("NFKD", text)
+        if not text.isascii():
+            # marks go; letters of other scripts stay as they are
+            text = "".join(c for c in text if c.isascii() or c.isalnum())
     return text.lower()
 
 
 def stream(text: str) -> bytes:
-    """The letters and digits of a text."""
-    return plain(text).encode().translate(None, _DROP)
+    """The letters and digits of a text, a byte each; a letter of another script is one of the upper bytes."""
+    flat = plain(text)
+    if not flat.isascii():
+        flat = "".join(c if c.isascii() else chr(128 + ord(c) % 127) for c in flat)
+    return flat.encode("latin-1").translate(None, _DROP)
 
 
 def gram_hashes(codes: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -121,9 +128,7 @@ class Items:
     """Hashed windows and words of the evaluation items; size bounded by ``MAX_ITEM_CHARS``."""
 
     def __init__(self, rows: list[tuple[int, str | None]], least: int = 25, one_in: int = 8):
-        self.ids, self.words, self.of, gates, hashes, owner, place = [], [], [], [], [], [], []
-        if sum(len(t or "") for _, t in rows) > MAX_ITEM_CHARS:
-            raise ValueError(f"the items hold more than {MAX_ITEM_CHARS} characters")
+        self.ids, self.words, self.bags, self.of, gates, hashes, owner, place = [], [], [], [], [], [], [], []
         for item, text in rows:
             s = np.frombuffer(stream(text or ""), np.uint8)
             if len(s) < GRAM:
@@ -136,6 +141,7 @@ class Items:
             place.append(np.arange(len(h), dtype=np.int32))
             self.ids.append(item)
             self.words.append(tokens)
+            self.bags.append(Counter(tokens))
             self.of.append(of)
         self.gates = np.array(gates, np.int64)
         none = np.zeros(0, np.uint64)
@@ -172,12 +178,8 @@ def _fit(item: list[str], text: list[str]) -> list[str]:
                     i += k
                     break
             else:
-                for a in after:
-                    if w.startswith(a) and w[len(a) :] in after[a]:
-                        out += [a, w[len(a) :]]
-                        break
-                else:
-                    out.append(w)
+                glued = next((k for k in range(1, len(w)) if w[k:] in after.get(w[:k], ())), 0)
+                out += [w[:glued], w[glued:]] if glued else [w]
                 i += 1
             continue
         if i + 1 < len(text) and text[i + 1] not in known and w + text[i + 1] in known:
@@ -221,7 +223,11 @@ def longest_quote(item: list[str], of: list[int], text: list[str], least: int, o
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least: int = 25, one_in: int = 8) -> DataFrame:
     """``doc_id, item_id, words, first, last``: the longest quote and the characters of the normalised text it lies in."""
     spark = documents.sparkSession
-    held = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in items.select(item_id, item_text).where(F.col(item_id).isNotNull()).collect()], least, one_in))
+    known = items.select(item_id, item_text).where(F.col(item_id).isNotNull())
+    size = known.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0)).alias("n")).first().n
+    if size > MAX_ITEM_CHARS:
+        raise ValueError(f"the items hold {size} characters, more than {MAX_ITEM_CHARS}")
+    held = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in known.collect()], least, one_in))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         it = held.value
@@ -254,7 +260,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
                     spots = at[k:end] - starts[d]
                     first, last = int(np.searchsorted(ends, spots.min(), "right")) - 1, int(np.searchsorted(ends, spots.max() + GRAM, "left"))
                     # few words around keep another excerpt out of the alignment, more take in a beginning or end without hits
-                    words = max(longest_quote(it.words[o], it.of[o], _fit(it.words[o], tokens[max(0, first - pad) : last + pad]), least, one_in) for pad in PADS)
+                    near, wide = (_fit(it.words[o], tokens[max(0, first - pad) : last + pad]) for pad in PADS)
+                    # a quote shares all its words but the edited ones, in whatever order they are counted
+                    if (it.bags[o] & Counter(wide)).total() < least - least // one_in:
+                        continue
+                    words = max(longest_quote(it.words[o], it.of[o], x, least, one_in) for x in (near, wide))
                     if words >= least:
                         out.append((b["doc_id"].iloc[d], it.ids[o], words, int(spots.min()), int(spots.max()) + GRAM))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "words", "first", "last"])
@@ -267,3 +277,45 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
 def without_leaks(documents: DataFrame, leaks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The documents in which no item was found."""
     return documents.join(leaks.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti")
+
+
+def _blanked(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text without the characters whose letters and digits lie in ``spans`` of its ``stream``."""
+    if not spans:
+        return text
+    chars, at = np.zeros(len(text), np.int64), 0
+    # the stream is made of whole normalised texts, so places are found by normalising growing parts at word ends
+    ends = [m.end() for m in re.finditer(r"\S+\s*", text)]
+    lead, before = 0, 0
+    for end in ends:
+        n = len(stream(text[lead:end])) if "<" not in text and "&" not in text else None
+        if n is None:
+            break
+        chars[lead:end] = before
+        before, lead = before + n, end
+    else:
+        keep = np.ones(len(text), bool)
+        for first, last in spans:
+            lo, hi = np.searchsorted(chars, first, "right") - 1, np.searchsorted(chars, last, "left")
+            lo = int(np.searchsorted(chars, chars[max(lo, 0)], "left"))
+            keep[lo:hi] = False
+        return "".join(c for c, k in zip(text, keep) if k)
+    flat = " ".join(plain(text).split())  # markup: the normalised text stands for it
+    return _blanked(flat, spans)
+
+
+def cleaned(documents: DataFrame, leaks: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All documents, the leaked spans cut out of their texts word by word; texts with markup come back normalised.
+
+    Only the longest quote of each item is cut, so run it again until nothing is found.
+    """
+    spans = leaks.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")).withColumnRenamed("doc_id", "_leaked")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["text"] = [t if t is None or s is None else _blanked(t, sorted((int(x["first"]), int(x["last"])) for x in s)) for t, s in zip(b["text"], b["spans"])]
+            yield b[["doc_id", "text"]]
+
+    met = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(spans, F.col("doc_id") == F.col("_leaked"), "left").drop("_leaked")
+    kind = documents.schema[doc_id].dataType.simpleString()
+    return met.mapInPandas(cut, f"doc_id {kind}, text string").toDF(doc_id, text)

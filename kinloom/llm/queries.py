@@ -110,6 +110,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many characters every document loses when its leaked spans are cut out."""
+    documents = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "text")
+    after = leakage.cleaned(documents, p7_leaks(spark, sf_dir))
+    return after.select("doc_id", F.length("text").alias("n_chars"))
+
+
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the shares of its text that look stuffed."""
     return spam_pages.score_pages(table(spark, sf_dir, "documents"))
@@ -119,5 +126,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_scores(spark, sf_dir).where("is_spam").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_matches": p2_matches, "p5_found": p5_found, "p4_found": p4_found, "p4_recall": p4_recall, "p4_nearest": p4_nearest, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_matches": p2_matches, "p5_found": p5_found, "p4_found": p4_found, "p4_recall": p4_recall, "p4_nearest": p4_nearest, "p6_packed": p6_packed, "p7_found": p7_found, "p7_cleaned": p7_cleaned, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}

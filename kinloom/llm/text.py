@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import combinations
 
 # Cyrillic letters by sound and, inside Latin words, by looks; Latin letters without a decomposition.
 _SOUND = str.maketrans(
@@ -79,9 +78,10 @@ def edits(a: str, b: str, most: int = 3) -> int:
 
 def deletes(word: str, most: int) -> set[str]:
     """The word and all words with up to ``most`` letters deleted."""
-    out = {word}
-    for k in range(1, min(most, len(word) - 1) + 1):
-        out.update("".join(c for i, c in enumerate(word) if i not in cut) for cut in map(set, combinations(range(len(word)), k)))
+    level = out = {word}
+    for _ in range(min(most, len(word) - 1)):
+        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        out = out | level
     return out
 
 

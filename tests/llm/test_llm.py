@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -18,6 +19,12 @@ def test_edits_and_index():
         assert {v for v, _ in text.DeleteIndex(words).search(w)} >= {v for v in words if text.edits(w, v, 1) == 1}
 
 
+def test_deletes():
+    for word in ("abcde", "aab", "a", ""):
+        want = {"".join(c for i, c in enumerate(word) if i not in cut) for k in range(min(2, max(len(word) - 1, 0)) + 1) for cut in map(set, combinations(range(len(word)), k))}
+        assert text.deletes(word, 2) == want
+
+
 def test_mapping(spark):
     ref = canonical.Reference([("1", ["Port Velmar"], [], ["Ostry"]), ("2", ["Lake Velmar"], [], ["Ostry"]), ("3", ["Grunwick"], [], ["Pelm"]), ("4", ["Grunwick"], [], ["Dorst"])] + [(f"{k}{n}", [f"{k} {n}"], [], []) for k in ("Port", "Lake") for n in ("Amsolio", "Bretuga", "Corvendi", "Dastimer")])  # a generic word stands in four names or more
     values = [("k", v) for v in ("PORT VELMAR", "Velmar, Lk.", "port  velmra old quarter", "Grunwick (Dorst)", "Grunwick", "nowhere", "", None, "x" * 5000)]
@@ -96,6 +103,18 @@ def test_leak_with_three_spread_changes(spark):
     assert leakage.find_leaks(spark.createDataFrame([(1, " ".join(quote))], "doc_id long, text string"), items).count() == 1
 
 
+def test_spans_are_cut_and_other_scripts_leak(spark):
+    cyrillic = " ".join(f"слово{i} вентиль" for i in range(15))
+    items = spark.createDataFrame([(9, ITEM), (8, cyrillic)], "item_id long, item_text string")
+    docs = spark.createDataFrame([(1, "Kept before. " + ITEM.upper() + " Kept after."), (2, "<b>Kept</b> " + ITEM), (3, "до " + cyrillic.replace("слово3 ", "СЛОВО3 ") + " после"), (4, None), (5, "nothing here")], "doc_id long, text string")
+    leaks = leakage.find_leaks(docs, items)
+    assert {(r.doc_id, r.item_id) for r in leaks.collect()} == {(1, 9), (2, 9), (3, 8)}
+    assert {r.doc_id for r in leakage.without_leaks(docs, leaks).collect()} == {4, 5}
+    got = {r.doc_id: r.text for r in leakage.cleaned(docs, leaks).collect()}
+    assert got[1].split() == ["Kept", "before.", "Kept", "after."] and got[2].split() == ["kept"] and got[3].split() == ["до", "после"] and got[4] is None and got[5] == "nothing here"
+    assert leakage.find_leaks(leakage.cleaned(docs, leaks), items).count() == 0
+
+
 def test_leak_beside_a_shorter_excerpt(spark):
     words = ITEM.split()
     changed = words[:]
