@@ -91,7 +91,7 @@ def calibrate(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select("sample_pairs", "background_mean", F.when(sd == 0, 0.05).otherwise(sd).alias("background_sd"))
 
 
-def rank_one(queries: DataFrame, rows: DataFrame, block: int = 2_000, size: int = 20_000) -> DataFrame:
+def rank_one(queries: DataFrame, rows: DataFrame, block: int = 1_000, size: int = 10_000) -> DataFrame:
     """``id, other, similarity``: the nearest other vector of every query (``id, v``), searched exactly.
 
     Queries stand in blocks of about ``block``; every part of the rows meets every block, and only the best of a
