@@ -10,7 +10,7 @@ Buckets above ``HOT`` rows are not joined row by row: they are searched in block
 which only the best stay, which is exact. Equal vectors are searched once, for the whole class.
 
 Defined results: null, empty, short, long, non-finite and all-zero vectors are unusable and give no row;
-of repeated ids one row counts; ties go to the smaller id.
+of repeated ids one row counts; ties go to the smaller id. Vectors are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ _BLOCK = 2_048
 
 
 def usable(rows: DataFrame, key: str, vector: str, dimensions: int) -> DataFrame:
-    """``id, v``: one usable vector an id."""
+    """``id, v``: the usable rows; repeated ones stay, ``nearest`` and ``exact`` count an id once."""
     v = F.col(vector)
     good = v.isNotNull() & (F.size(v) == dimensions) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return rows.select(F.col(key).alias("id"), v.cast("array<float>").alias("v"), good.alias("good")).where("good and id is not null").drop("good").groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select(F.col(key).alias("id"), v.cast("array<float>").alias("v"), good.alias("good")).where("good and id is not null").drop("good")
 
 
 class Codes:
@@ -128,61 +128,78 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.98, recall: float =
     """
     spark = vectors.sparkSession
     n = parallelism(spark)
-    # one row a class of equal vectors, numbered once it is written
-    classed = store(vectors.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("row", F.monotonically_increasing_id()))
-    rows = classed.count()
-    if rows == 0:
+    # equal vectors have one number and are searched once; the vectors themselves move once, to be reranked
+    rows = vectors.select("id", "v", F.xxhash64("v").alias("h"))
+    ids = store(rows.groupBy("id").agg(F.min("h").alias("h")))
+    count = ids.count()
+    if count == 0:
         return vectors.select("id", F.col("id").alias("other"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
-    sample = classed.select("v").orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()
-    codes = Codes(_stack(sample["v"]), rows, least, recall)
+    sample = rows.select("v").orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()
+    codes = Codes(_stack(sample["v"]), count, least, recall)
     held = spark.sparkContext.broadcast(codes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b.column("v")
-            keys, words = held.value.encode(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(float))
-            tables = keys.shape[1]
-            # table and substring in one number; a word of the code to compare before any vector is read
-            bucket = (np.arange(tables, dtype=np.int64) << np.int64(40)) | keys
-            row = np.repeat(b.column("row").to_numpy(), tables)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(row), *(pa.array(np.repeat(words[:, i], tables)) for i in range(2))], ["bucket", "row", "c0", "c1"])
-
-    index = classed.select("row", "v").repartition(n).mapInArrow(encode, "bucket long, row long, c0 long, c1 long")
-    hot_keys = store(index.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
+            if len(v):
+                keys, words = held.value.encode(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(float))
+                tables = keys.shape[1]
+                # table and substring in one number; words of the code to compare before any vector is read
+                bucket = (np.arange(tables, dtype=np.int64) << np.int64(40)) | keys
+                h = np.repeat(b.column("h").to_numpy(), tables)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(h), *(pa.array(np.repeat(words[:, i], tables)) for i in range(2))], ["bucket", "h", "c0", "c1"])
+
+    stored = store(rows.select("h", "v").repartition(n).mapInArrow(encode, "bucket long, h long, c0 long, c1 long"))
+    # by bucket first, so the same exchange serves to drop repeats and to join
+    index = stored.repartition(n, "bucket").dropDuplicates(["bucket", "h"])
+    hot_keys = _crowded(stored, n)
     hot = hot_keys.head(1)
-    warm = index.join(hot_keys, "bucket", "left_anti") if hot else index
+    warm = stored.join(hot_keys, "bucket", "left_anti").repartition(n, "bucket").dropDuplicates(["bucket", "h"]) if hot else index
     a, b = warm.alias("a"), warm.alias("b")
     apart = sum((F.bit_count(F.col(f"a.c{i}").bitwiseXOR(F.col(f"b.c{i}"))) for i in range(2)), F.lit(0))
-    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.row") < F.col("b.row")) & (apart <= codes.radius)).select(F.col("a.row").alias("row1"), F.col("b.row").alias("row2"))
+    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.h") < F.col("b.h")) & (apart <= codes.radius)).select(F.col("a.h").alias("h1"), F.col("b.h").alias("h2"))
+    each = rows.select("h", "v").dropDuplicates(["h"])
     if hot:
-        members = index.select("bucket", "row").join(hot_keys, "bucket").join(classed.select("row", "v"), "row").select(F.lit(0).alias("t"), F.col("bucket").alias("key"), "n", F.col("row").alias("id"), "v")
+        members = stored.select("bucket", "h").distinct().join(hot_keys, "bucket").join(each, "h").select(F.lit(0).alias("t"), F.col("bucket").alias("key"), "n", F.col("h").alias("id"), "v")
         found = _block_pairs(members, k, least)
-        pairs = pairs.unionByName(found.select(F.least("id1", "id2").alias("row1"), F.greatest("id1", "id2").alias("row2")))
-    pairs = pairs.distinct()
-    one, two = (classed.select(F.col("row").alias(f"row{i}"), F.col("id").alias(f"id{i}"), F.col("v").alias(f"v{i}")) for i in (1, 2))
-    scored = pairs.join(one, "row1").join(two, "row2").select("id1", "id2", cosine("v1", "v2").alias("similarity")).where(F.col("similarity") >= least)
-    both = scored.unionByName(scored.select(F.col("id2").alias("id1"), F.col("id1").alias("id2"), "similarity"))
-    # classes of equal vectors: every member sees its class first, then the first members of near classes
-    several = classed.where("copies > 1")
-    if several.take(1):
-        ranked_members = vectors.join(classed.select("v", F.col("id").alias("head"), "copies"), "v").select("id", "head", "copies")
-        order = Window.partitionBy("head").orderBy("id")
-        first = ranked_members.where("copies > 1").withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1).select(F.col("head").alias("id2"), F.col("id").alias("other"))
-        first = first.unionByName(classed.where("copies = 1").select(F.col("id").alias("id2"), F.col("id").alias("other")))
-        links = both.unionByName(several.select(F.col("id").alias("id1"), F.col("id").alias("id2"), F.lit(1.0).alias("similarity")))
-        to = links.join(first, "id2").withColumn("r", F.row_number().over(Window.partitionBy("id1").orderBy(F.desc("similarity"), "other"))).where(F.col("r") <= k + 1).select(F.col("id1").alias("head"), "other", "similarity")
-        directed = ranked_members.select("id", "head").join(to, "head").where("id <> other").select("id", "other", "similarity")
-    else:
-        directed = both.select(F.col("id1").alias("id"), F.col("id2").alias("other"), "similarity")
+        pairs = pairs.unionByName(found.select(F.least("id1", "id2").alias("h1"), F.greatest("id1", "id2").alias("h2")))
+    one, two = (each.select(F.col("h").alias(f"h{i}"), F.col("v").alias(f"v{i}")) for i in (1, 2))
+    scored = store(pairs.distinct().join(one, "h1").join(two, "h2").select("h1", "h2", cosine("v1", "v2").alias("similarity")).where(F.col("similarity") >= least))
+    # of every vector the first k + 1 ids, and the vectors near it: itself where several have it
+    first = ids.withColumn("at", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("at") <= k + 1).select(F.col("h").alias("h2"), F.col("id").alias("other"))
+    several = ids.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    links = scored.unionByName(scored.select(F.col("h2").alias("h1"), F.col("h1").alias("h2"), "similarity")).unionByName(several.select(F.col("h").alias("h1"), F.col("h").alias("h2"), F.lit(1.0).alias("similarity")))
+    to = links.join(first, "h2").withColumn("r", F.row_number().over(Window.partitionBy("h1").orderBy(F.desc("similarity"), "other"))).where(F.col("r") <= k + 1).select(F.col("h1").alias("h"), "other", "similarity")
+    directed = ids.join(to, "h").where("id <> other").select("id", "other", "similarity")
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     return directed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def exact(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 2_000, part: int = 20_000) -> DataFrame:
+def _crowded(stored: DataFrame, parts: int) -> DataFrame:
+    """``bucket, n`` of the buckets with more than ``HOT`` rows.
+
+    Such a bucket has its share of them in one of the tasks at least, so only these are counted.
+    """
+    tasks = max(1, stored.rdd.getNumPartitions())
+    share = max(1, HOT // tasks)
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_ = [b.column("bucket").to_numpy() for b in batches]
+        if all_:
+            bucket, n = np.unique(np.concatenate(all_), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[n >= share])], ["bucket"])
+
+    likely = store(stored.select("bucket").mapInArrow(often, "bucket long").distinct())
+    counted = stored.select("bucket").join(likely, "bucket", "left_semi").groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    return store(counted)
+
+
+def exact(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 1_000, part: int = 5_000) -> DataFrame:
     """``id, other, similarity, rank``: the true ``k`` nearest of the ``queries``, a stated set, against all rows.
 
     Queries stand in blocks; every part of the rows meets every block and only the best ``k`` of a query leave it.
     """
+    vectors, queries = (t.groupBy("id").agg(F.min("v").alias("v")) for t in (vectors, queries))
     n, parts = max(1, -(-queries.count() // block)), max(8, -(-vectors.count() // part))
     kind = vectors.schema["id"].dataType.simpleString()
     asked = queries.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", "v", F.lit(True).alias("asked"))

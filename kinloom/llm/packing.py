@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,10 +42,15 @@ def _encoding(path: str, pattern: str):
 
 
 def token_pieces(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """``doc_id, piece, first_token, n_tokens``: whole texts, or full pieces and a remainder of longer ones."""
+    """``doc_id, piece, first_token, n_tokens``: whole texts, or full pieces and a remainder of longer ones.
+
+    ``tokenizer`` is a file of the driver's machine; it is sent to the executors with the job.
+    """
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = tokenizer.rpartition("/")[2]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoding(tokenizer, pattern)
+        enc = _encoding(SparkFiles.get(name), pattern)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": n})
