@@ -187,7 +187,7 @@ def scored(facts: DataFrame, pairs: DataFrame, least: float, dice: bool) -> Data
             plain = people.plain_points(sig1, sig2) + people.exact_entries(at1, at2)
             points = np.full(b.num_rows, -99.0)
             open_ = np.arange(b.num_rows) if more else np.flatnonzero(plain + people.NAMES + most >= least)
-            rows = zip(open_, *(b.column(c).take(pa.array(open_)).to_pylist() for c in ("given1", "family1", "kin1", "given2", "family2", "kin2")))
+            rows = zip(open_, *(tokens.listed(b.column(c).take(pa.array(open_))) for c in ("given1", "family1", "kin1", "given2", "family2", "kin2")))
             for i, g1, f1, k1, g2, f2, k2 in rows:
                 total = plain[i] + people.names_points(*people.align(g1.split(), f1.split(), g2.split(), f2.split()))
                 if total + most < least and not more:

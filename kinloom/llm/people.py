@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kinloom.llm.canonical import Reference
 from kinloom.llm.text import edits, sound, words
-from kinloom.llm.tokens import gram_bits, number
+from kinloom.llm.tokens import gram_bits, listed, number
 from kinloom.operators.timestamps import _MONTH, _plain, candidates
 
 # Words in name fields that name nobody.
@@ -44,6 +44,7 @@ def _span(y: int, m: int | None = None, slack: int = 0) -> tuple[int, int]:
     return _ord(y - slack, 1, 1), _ord(y + slack, 12, 31)
 
 
+_WORDED = re.compile(r"([A-Za-z]{3,12}) (\d{1,2}), (\d{4})|(\d{1,2})[ -]([A-Za-z]{3,12})[ -](\d{4})")
 _NUMERIC = re.compile(r"(\d{1,2})([/.-])(\d{1,2})\2(\d{4})")
 
 
@@ -78,6 +79,11 @@ def birth_window(raw: str | None, zone: str | None, order: str | None, this_year
         day = mdy if dmy is None else dmy
         if day is not None:
             return day, day, EXACT
+    elif m := _WORDED.fullmatch(raw):
+        month = _MONTH.get((m[1] or m[5]).lower())
+        day = _day(int(m[3] or m[6]), month, int(m[2] or m[4])) if month else None
+        if day is not None:
+            return day, day, EXACT
     return _window(raw, zone, order, this_year)
 
 
@@ -109,12 +115,6 @@ def _window(raw: str, zone: str | None, order: str | None, this_year: int) -> tu
     return None
 
 
-def name_words(text: str | None) -> list[str]:
-    got = [w for w in words(text) if w not in _TITLES]
-    long = [w for w in got if len(w) > 3 or (len(w) == 1)]
-    return long if any(len(w) > 1 for w in long) else got
-
-
 class Forms:
     """Given names behind short forms, from a list of at most ``most`` rows."""
 
@@ -201,9 +201,9 @@ def features(records: DataFrame, desks: DataFrame, forms: Forms, places: PlaceKe
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms, places, nations, zones = lists.value
         # kept beside the lists, so the next task of this worker finds them filled
-        place, nation, name = _kept(places, places.find), _kept(nations, nations.find), _kept(forms, lambda text: _name(text, forms))
+        place, nation, name = _kept(places, places.find), _kept(nations, nations.find), _kept(forms, _named(forms))
         for b in batches:
-            col = {c: b.column(c).to_pylist() for c in b.schema.names if c not in ("id", "spelled", "record_id")}
+            col = {c: listed(b.column(c)) for c in b.schema.names if c not in ("id", "spelled", "record_id")}
             given, family = [name[g] for g in col["given_name"]], [name[f] for f in col["family_name"]]
             kin = [[x for k in text.split(_SEP) if (x := name[k])[0]] if text else [] for text in col["kin"]]
             windows = [birth_window(born, *zones.get(org, (None, None)), year) for born, org, year in zip(col["birth_date_raw"], col["source_org"], col["year"])]
@@ -239,19 +239,36 @@ class _Memo(dict):
         return out
 
 
+def _named(forms: Forms):
+    words_of = _Memo(lambda w: _word(w, forms))
+    return lambda text: _name(text, words_of)
+
+
 def _kept(lists, make) -> _Memo:
     if not hasattr(lists, "memo"):
         lists.memo = _Memo(make)
     return lists.memo
 
 
-def _name(text: str | None, forms: Forms) -> tuple[str, list[int]]:
+def _name(text: str | None, words_of: _Memo) -> tuple[str, list[int]]:
     """Folded words of a name and the numbers of their sounds."""
-    ws = [forms.full(w) for w in name_words(text)]
-    return " ".join(ws), [_NUMBER[w] for w in ws if len(w) > 1]
+    if not text:
+        return "", []
+    got = [t for w in words(text) if (t := words_of[w])]
+    long = [t for t in got if t[0]]
+    if len(long) < len(got) and any(t[1] for t in long):
+        got = long
+    return " ".join([t[2] for t in got]), [t[3] for t in got if t[3] is not None]
+
+
+def _word(w: str, forms: Forms) -> tuple | None:
+    """Of a word: whether it is long or an initial, whether it is no initial, its full form, the number of that; none for titles."""
+    if w in _TITLES:
+        return None
+    full = forms.full(w)
+    return len(w) > 3 or len(w) == 1, len(w) > 1, full, number(sound(full)) if len(full) > 1 else None
 
 
-_NUMBER = _Memo(lambda w: number(sound(w)))
 _BITS = _Memo(lambda w: gram_bits(sound(w)))
 _GRAMS = _Memo(gram_bits)
 

@@ -16,10 +16,21 @@ _SCAN = str.maketrans({"0": "o", "1": "l", "3": "e", "5": "s", "8": "b", "@": "a
 _WORD = re.compile(r"[^\W_]+(?:[@$|'’][^\W_]*)*|[@$][^\W_]+")
 
 
+class _Marks(dict):
+    """Combining marks and invisible characters go, others stay; filled as characters come up."""
+
+    def __missing__(self, code: int) -> int | None:
+        c = chr(code)
+        out = self[code] = None if unicodedata.combining(c) or unicodedata.category(c) == "Cf" else code
+        return out
+
+
+_MARKS = _Marks()
+
+
 def strip_marks(text: str) -> str:
     """NFKC, lower case, no combining marks, no invisible characters."""
-    text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text)).lower()
-    return "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+    return unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text)).lower().translate(_MARKS)
 
 
 @lru_cache(maxsize=200_000)
