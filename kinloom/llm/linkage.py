@@ -165,7 +165,7 @@ def candidates(facts: DataFrame, across: bool, need: float) -> DataFrame:
     a, b = keys.alias("a"), keys.alias("b")
     side = lambda x: F.col(f"{x}.id").bitwiseAND(F.lit(1).cast("long"))
     apart = side("a") < side("b") if across else F.col("a.id") < F.col("b.id")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & (people.most_points("a.sig", "b.sig") >= need - 1e-6))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & people.births_meet("a.sig", "b.sig") & (people.most_points("a.sig", "b.sig") >= need - 1e-6))
     return met.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).distinct()
 
 

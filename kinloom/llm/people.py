@@ -448,6 +448,14 @@ def plain_points(a, b, shift=np.right_shift) -> np.ndarray:
     return points
 
 
+def births_meet(a: str, b: str) -> Column:
+    """Whether two ``sig`` leave it open that the births are one: cheap, and false for most strangers."""
+    part = lambda x, at, width: F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    unknown = F.shiftrightunsigned(F.col(a).bitwiseAND(F.col(b)), BORN).bitwiseAND(F.lit(1).cast("long")) == 0
+    day1, day2 = part(a, DAY, 17), part(b, DAY, 17)
+    return unknown | ((day1 <= day2 + part(b, SPAN, 13)) & (day2 <= day1 + part(a, SPAN, 13)))
+
+
 def most_points(a: str, b: str):
     """The points of ``plain_points`` with the best that names and kin could add, as a column over two ``sig``."""
     part = lambda x, at, width: F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
