@@ -34,6 +34,18 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.*?-->", re.S)
 _BROKEN = re.compile("[Â-ß][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
 _DROP = bytes(i for i in range(128) if not (48 <= i <= 57 or 97 <= i <= 122))
 _WORD = re.compile(r"[^\W_]+")
+_OTHER = re.compile(r"[^\x00-\x7f]+")
+
+
+class _Letters(dict):
+    """Letters and digits stay, other characters go; filled as characters come up."""
+
+    def __missing__(self, code: int) -> int | None:
+        out = self[code] = code if chr(code).isalnum() else None
+        return out
+
+
+_LETTERS = _Letters()
 
 
 def _mend(m: re.Match) -> str:
@@ -58,10 +70,8 @@ def plain(text: str) -> str:
         text = html.unescape(html.unescape(text))
     if not text.isascii():
         text = _BROKEN.sub(_mend, text).replace("ß", "ss")
-        text = unicodedata.normalize("NFKD", text)
-        if not text.isascii():
-            # marks go; letters of other scripts stay as they are
-            text = "".join(c for c in text if c.isascii() or c.isalnum())
+        # marks go; letters of other scripts stay as they are
+        text = _OTHER.sub(lambda m: m[0].translate(_LETTERS), unicodedata.normalize("NFKD", text))
     return text.lower()
 
 
@@ -69,7 +79,7 @@ def stream(text: str) -> bytes:
     """The letters and digits of a text, a byte each; a letter of another script is one of the upper bytes."""
     flat = plain(text)
     if not flat.isascii():
-        flat = "".join(c if c.isascii() else chr(128 + ord(c) % 127) for c in flat)
+        flat = _OTHER.sub(lambda m: "".join([chr(128 + ord(c) % 127) for c in m[0]]), flat)
     return flat.encode("latin-1").translate(None, _DROP)
 
 
