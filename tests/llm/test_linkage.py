@@ -56,6 +56,19 @@ def test_sources_match_with_confidence(spark):
     assert pairs(linkage.match_sources(facts, labels)) == got
 
 
+def test_names_without_a_shared_beginning_still_meet(spark):
+    thin = {"birth_date_raw": "1990", "family_members": None}
+    rows = [
+        rec(1, given_name="Ana", family_name="Anana", **thin), rec(51, 1, given_name="Ana", family_name="Anana", **thin),  # one vector of grams
+        rec(2, given_name="Zorbel", family_name="Zorbel", **thin), rec(52, 1, given_name="Zorbel", family_name="Zorbel", **thin),
+        rec(3, given_name="Quemdir", family_name="Hestrov", **thin), rec(53, 1, given_name="Q.", family_name="Hestrov", **thin), rec(54, 1, given_name=None, family_name="Hestrov", **thin),
+        rec(4, given_name="Luulbemkrava", family_name="Dadjwibra", **thin), rec(55, 1, given_name="Lulbka", family_name="Dadjeibra", **thin),
+    ]
+    facts = features(spark, rows)
+    assert tokens.gram_bits("ana") == tokens.gram_bits("anana")
+    assert pairs(linkage.match_sources(facts)) >= {(1, 51), (2, 52), (3, 53), (3, 54), (4, 55)}
+
+
 def test_crowded_keys_and_joined_words_change_nothing(spark, monkeypatch):
     rows = VARIANTS + [rec(100 + i, birth_date_raw=(f"19{40 + i}-03-04", None, "1990", "c. 1990")[i % 4], family_members=None, origin_place=None) for i in range(24)]
     facts = features(spark, rows)
