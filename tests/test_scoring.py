@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom.operators import evaluation, images, scoring, synth, vectors
+from kinloom.functions import names
+from kinloom.operators import evaluation, images, ranking, scoring, synth, vectors
 from kinloom.sources import registry
 from kinloom.streaming import pairs
 
@@ -173,3 +174,41 @@ def test_thresholds_in_buckets(spark):
     for n in (1, 7, 1000):
         r = evaluation.best_threshold(spark.createDataFrame(rows, "score double, same boolean"), n).first()
         assert (r.threshold, r.accuracy) == (-best[1], pytest.approx(best[0]))
+
+
+@pytest.mark.parametrize("n, floor, slice_rows", [(3, 25.0, 10**6), (1, 60.0, 400)])
+def test_best_candidates_form_no_list_of_pairs(spark, monkeypatch, n, floor, slice_rows):
+    a, b, _ = (x.cache() for x in synth.registries(spark, 40))
+    places = scoring.aliases(synth.place_entries(spark), "entry", [F.col("forms")])
+    ids = [r[0] for r in a.unionByName(b, True).select("record_id").collect()]
+    rng = np.random.default_rng(5)
+    faces = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(4) + 1]) for i in ids[::2]], "record_id string, v array<double>")
+    pairs = scoring.candidate_pairs(a, b)
+    scored = scoring.score_pairs(pairs, a, b, scoring.face_similarities(pairs, faces), places)
+    columns = ("a_record_id", "b_record_id", "score", "band", "face_similarity", "rank")
+    want = {tuple(r) for r in scoring.top_candidates(scored, n, floor).select(*columns).collect()}
+    monkeypatch.setattr(scoring, "candidate_pairs", None)
+    monkeypatch.setattr(scoring, "score_pairs", None)
+    got = [tuple(r) for r in ranking.best_candidates(a, b, faces, places, n=n, floor=floor, slice_rows=slice_rows).select(*columns).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+    assert ranking.best_candidates(a.limit(0), b, faces, places, n=n, floor=floor).count() == 0
+
+
+def test_review_queries_form_no_list_of_pairs(spark, monkeypatch):
+    from kinloom.plans import reference_queries
+
+    def pairs_listed(*_):
+        raise AssertionError("all pairs are listed")
+
+    monkeypatch.setattr(scoring, "candidate_pairs", pairs_listed)
+    for name in ("review_cases", "review_queue"):
+        reference_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
+def test_the_bound_of_names_is_never_below_their_score():
+    rng = np.random.default_rng(8)
+    words = ["", None, "Ana", "anna", "Anaaaa", "aaaana", "Trostith", "Trosthit", "Kathy", "Cathie", "José", "w" * 30, "Phaen", "Faen"] + ["".join(rng.choice(list("abenrstk"), rng.integers(1, 9))) for _ in range(60)]
+    memo = ranking._Names()
+    for x in words:
+        most = ranking.most_name(np.array([memo[x]] * len(words)), np.array([memo[y] for y in words]))
+        assert all(m >= names.name_score(x, y)[0] - 1e-9 for m, y in zip(most, words) if x is not None and y is not None)
