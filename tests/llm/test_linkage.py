@@ -1,6 +1,7 @@
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,29 @@ def test_calibration_sees_through_errors():
     assert linkage.calibrate(np.zeros(0), np.zeros(0)) == pytest.approx((linkage.MIDDLE, linkage.SLOPE))
     middle, slope = linkage.calibrate(np.array([-99.0] * 600 + [15.0] * 200), np.array(([0.0] * 4 + [1.0]) * 120 + [1.0, 1.0, 1.0, 1.0, 0.0] * 40))
     assert -2 < middle < 12 and slope > 0.3
+
+
+def test_bound_of_names_holds_and_leaves_out_strangers():
+    rng = np.random.default_rng(5)
+    words = ["", "k", "q", "kemox", "trostith", "kemush", "lisith loshev", "hhhhush", "jeebeeree", "xxxxa", "rnorna", "phoouey", "abush", "anna maria lou", "lorostae", "drouruma"]
+
+    def typed(w):
+        i = rng.integers(len(w) + 1)
+        return (w, w[:i] + "akn"[rng.integers(3)] + w[i:], w[:i] + w[i + 1 :], w[:i] + w[i:][1:2] + w[i : i + 1] + w[i + 2 :], w[:i] + "ush")[rng.integers(5)].strip()
+
+    rows = [[typed(words[i]) for i in rng.integers(len(words), size=4)] for _ in range(1500)]
+    rows += [[g, f, *names] for g, f, _, _ in rows for names in ((typed(g), typed(f)), (typed(f), typed(g)), ("", f"{g} {f}".strip()))]
+    points = np.array([people.names_points(*people.align(*(x.split() for x in r))) for r in rows])
+    columns = [pa.array(c, pa.string()) for c in zip(*rows)]
+    for need in (-15.0, -2.0, 0.3, 3.0, 5.0, 7.0):
+        may = people.names_may_reach(*columns, np.full(len(rows), need))
+        assert may[points >= need].all() and (need < 0 or not may.all())
+    strangers = people.names_may_reach(*(pa.array([x] * 3) for x in ("lorostae", "trostith")), pa.array(["drouruma", "kemox", "lorostae"]), pa.array(["trostith"] * 3), np.full(3, 1.0))
+    assert strangers.tolist() == [False, False, True]
+
+
+def test_keys_stand_by_side(spark):
+    facts = features(spark, [rec(i, i % 2) for i in range(6)])
+    words = tokens.vocabulary(facts)
+    sides = linkage.keyed(facts, tokens.resolved(words, tokens.by_deletes(words), vectors=True), True)
+    assert [{r.id & 1 for r in s.select("id").distinct().collect()} for s in sides] == [{0}, {1}]
